@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, exact_dedup, packing
+from assaylake.llm import bpe, exact_dedup, langid, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,19 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = langid.profiles(docs.where(~_held_out()))
+    return langid.predict(docs, learned, "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe}
 ORACLE = {"op3_exact_dedup": OP3_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, exact_dedup, langid, packing
+from assaylake.llm import bpe, exact_dedup, langid, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def _held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 2, 1).otherwise(0)
+    model = quality.fit(docs.where(~_held_out()), _table(spark, sf_dir, "labels"), fold=fold)
+    return quality.score(docs, model, "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = langid.profiles(docs.where(~_held_out()))
@@ -42,5 +49,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe}
 ORACLE = {"op3_exact_dedup": OP3_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, exact_dedup, langid, packing, quality
+from assaylake.llm import bpe, exact_dedup, langid, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
 ORACLE = {"op3_exact_dedup": OP3_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, exact_dedup, langid, packing, quality, simhash
+from assaylake.llm import bpe, exact_dedup, langid, packing, quality, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned, "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.kept_words(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -54,5 +59,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op7_language_id": op7_language_id, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op7_language_id": op7_language_id, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
 ORACLE = {"op3_exact_dedup": OP3_SQL}

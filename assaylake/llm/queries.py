@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, langid, packing, quality, simhash, substrings, topk
+from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = langid.profiles(docs.where(~_held_out()))
@@ -80,5 +85,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_top_k": op5_top_k, "op7_language_id": op7_language_id, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_top_k": op5_top_k, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
 ORACLE = {"op3_exact_dedup": OP3_SQL, "op5_top_k": OP5_SQL}

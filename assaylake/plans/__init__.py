@@ -1,6 +1,6 @@
 """Queries over the canonical tables; importing the package registers them."""
 
-from assaylake.plans import qc
+from assaylake.plans import control, qc
 from assaylake.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "qc"]
+__all__ = ["ORACLE", "QUERIES", "control", "qc"]

@@ -24,7 +24,7 @@ def profiles(cells: DataFrame, fit: DataFrame, levels: list[list[str]], used: Da
     at = fit.select("sample_id", F.inline(by_level(levels)))
     if used is not None:
         at = at.join(used.select("level", "key").distinct(), ["level", "key"], "left_semi")
-    return at.join(cells, "sample_id").groupBy("level", "key", "feature_id").agg(F.avg("value").alias("mu"))
+    return at.join(cells.select("sample_id", "feature_id", "value"), "sample_id").groupBy("level", "key", "feature_id").agg(F.avg("value").alias("mu"))
 
 
 def hierarchical_mean(cells: DataFrame, samples: DataFrame, levels: list[list[str]], serve: DataFrame | None = None, fit: DataFrame | None = None, min_rows: int = 3) -> DataFrame:

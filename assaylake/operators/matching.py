@@ -25,7 +25,7 @@ def control_index(cells: DataFrame, pool: DataFrame, levels: list[list[str]] = C
     at = exploded(pool, levels)
     if used is not None:
         at = at.join(used.select("level", "key").distinct(), ["level", "key"], "left_semi")
-    return at.join(cells, "sample_id").groupBy("level", "key", "feature_id").agg(agg("value").alias("control"), F.count("value").alias("n_controls"))
+    return at.join(cells.select("sample_id", "feature_id", "value"), "sample_id").groupBy("level", "key", "feature_id").agg(agg("value").alias("control"), F.count("value").alias("n_controls"))
 
 
 def delta(cells: DataFrame, samples: DataFrame, levels: list[list[str]] = CONTROL_LEVELS, pool: DataFrame | None = None, agg=F.median) -> DataFrame:

@@ -19,8 +19,8 @@ dep AS (SELECT *, CASE WHEN n_pos > 0 AND tp + fp > 0 THEN tp / (tp + fp) END AS
 ranked AS (SELECT model, sample_id, y, score, n_pos, row_number() OVER (PARTITION BY model, sample_id ORDER BY score DESC, feature_idx) AS rk FROM pos JOIN dep0 USING (model, sample_id) WHERE n_pos > 0 AND n_pos < n),
 rk AS (SELECT model, sample_id, sum(CASE WHEN rk <= n_pos THEN y ELSE 0 END) / max(n_pos) AS rk_k, sum(CASE WHEN rk <= 100 THEN y ELSE 0 END) / max(n_pos) AS rk_f FROM ranked GROUP BY 1, 2),
 st AS (SELECT model, sample_id, score, sum(y) AS p, count(*) AS k, max(n_pos) AS n_pos FROM ranked GROUP BY 1, 2, 3),
-cv AS (SELECT *, sum(p) OVER w AS tp, sum(k) OVER w AS at FROM st WINDOW w AS (PARTITION BY model, sample_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-ap AS (SELECT model, sample_id, sum(p / n_pos * tp / at) AS auprc FROM cv GROUP BY 1, 2)"""
+cv AS (SELECT *, sum(p) OVER w AS tp, sum(k) OVER w AS seen FROM st WINDOW w AS (PARTITION BY model, sample_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT model, sample_id, sum(p / n_pos * tp / seen) AS auprc FROM cv GROUP BY 1, 2)"""
 
 
 @query("sc_moments", sql(f"SELECT model, 'sample' AS grain, sample_id AS id, count(*) AS n, {r('covar_pop(t, p)')} AS cov, {r('var_pop(t)')} AS var_t, {r('var_pop(p)')} AS var_p, {r('sum((t - p) * (t - p))')} AS ss_res FROM pairs WHERE family = 'delta' AND split = 'all' GROUP BY 1, 3 UNION ALL SELECT model, 'feature', feature_id, count(*), {r('covar_pop(t, p)')}, {r('var_pop(t)')}, {r('var_pop(p)')}, {r('sum((t - p) * (t - p))')} FROM pairs WHERE family = 'delta' AND split = 'all' GROUP BY 1, 3 UNION ALL SELECT model, 'pooled', '', count(*), {r('covar_pop(t, p)')}, {r('var_pop(t)')}, {r('var_pop(p)')}, {r('sum((t - p) * (t - p))')} FROM pairs WHERE family = 'delta' AND split = 'all' GROUP BY 1", PRED_SQL))
@@ -29,8 +29,8 @@ def sc_moments(s, d):
     return metrics.moments(x, "model").where("n > 0").select("model", "grain", "id", "n", *[r6(c).alias(c) for c in ("cov", "var_t", "var_p", "ss_res")])
 
 
-def _scores(s, d):
-    return metrics.scores(pairs(predictions(s, d)), "model", "split", "family").where("n > 0")
+def _scores(s, d, preds=None):
+    return metrics.scores(pairs(predictions(s, d) if preds is None else preds), "model", "split", "family").where("n > 0")
 
 
 @query("sc_pcc", sql(f"SELECT model, split, family, id, {r('pcc')} AS pcc FROM sc WHERE grain = 'sample'", _SC))
@@ -59,9 +59,9 @@ for _n, _w in (("sc_summarise", "split = 'all'"), ("sc_abundance", "family = 'y'
     _summary_query(_n, _w)
 
 
-def _by_model(s, d, f):
+def _by_model(s, d, f, preds=None):
     """A per-sample metric of each model: the model is part of the sample's name."""
-    x = predictions(s, d).select(F.concat_ws("@", "model", "sample_id").alias("sample_id"), "feature_id", "feature_idx", F.col("d").alias("t"), F.col("d_pred").alias("p"))
+    x = (predictions(s, d) if preds is None else preds).select(F.concat_ws("@", "model", "sample_id").alias("sample_id"), "feature_id", "feature_idx", F.col("d").alias("t"), F.col("d_pred").alias("p"))
     parts = F.split("sample_id", "@")
     return f(x).withColumn("model", parts[0]).withColumn("sample_id", parts[1])
 
@@ -91,14 +91,15 @@ _LONG = _SC + _COUNTS + """, mlong AS (SELECT model, split, CASE WHEN family IN
 
 def metric_rows(s, d):
     """(model, split, family, metric, value): everything that a module can ask for."""
-    sm = metrics.summarise(_scores(s, d), "model", "split", "family")
+    preds = predictions(s, d)
+    sm = metrics.summarise(_scores(s, d, preds), "model", "split", "family")
     fam = F.col("family").isin("ctx", "drug")
     prefix = F.when(fam, F.concat(F.col("family"), F.lit("_"))).otherwise("")
     both = sm.select("model", "split", F.when(fam, "delta").otherwise(F.col("family")).alias("family"), F.inline(F.array(*[F.struct(F.concat(prefix, F.lit(f"{m}_"), F.col("grain")).alias("metric"), F.col(f"{m}_mean").alias("value")) for m in ("pcc", "r2")])))
-    c = _by_model(s, d, metrics.dep_counts).groupBy("model").agg(F.avg("precision").alias("precision_macro"), F.avg("f1").alias("f1_macro"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    c = _by_model(s, d, metrics.dep_counts, preds).groupBy("model").agg(F.avg("precision").alias("precision_macro"), F.avg("f1").alias("f1_macro"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     c = c.withColumns({"precision_micro": F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))), "f1_micro": F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))})
-    rk = _by_model(s, d, metrics.dep_rank).groupBy("model").agg(F.avg("recall_at_k").alias("recall_at_k"))
-    ap = _by_model(s, d, metrics.dep_auprc).groupBy("model").agg(F.avg("auprc").alias("auprc"))
+    rk = _by_model(s, d, metrics.dep_rank, preds).groupBy("model").agg(F.avg("recall_at_k").alias("recall_at_k"))
+    ap = _by_model(s, d, metrics.dep_auprc, preds).groupBy("model").agg(F.avg("auprc").alias("auprc"))
     dep = c.join(rk, "model", "left").join(ap, "model", "left")
     names = ["precision_macro", "f1_macro", "precision_micro", "f1_micro", "recall_at_k", "auprc"]
     dep = dep.select("model", F.lit("all").alias("split"), F.lit("dep").alias("family"), F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))

@@ -1,6 +1,6 @@
 """Queries over the canonical tables; importing the package registers them."""
 
-from assaylake.plans import control, engineering, frozen, qc, scoring, side
+from assaylake.plans import control, engineering, frozen, more, qc, scoring, side
 from assaylake.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "control", "engineering", "frozen", "qc", "scoring", "side"]
+__all__ = ["ORACLE", "QUERIES", "control", "engineering", "frozen", "more", "qc", "scoring", "side"]

@@ -98,7 +98,7 @@ def predict(docs: DataFrame, learned: pd.DataFrame, *keep: str | Column, text_co
         table = ngram_vectors()
         for b in batches:
             lang, score = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column(text_at).to_pylist():
                 at, n = np.unique(ngrams(text or ""), return_counts=True)
                 if not len(at) or not langs:
                     lang.append("und")
@@ -109,9 +109,10 @@ def predict(docs: DataFrame, learned: pd.DataFrame, *keep: str | Column, text_co
                 best = int(np.argmax(cosines))
                 lang.append(langs[best])
                 score.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:width], "lang_pred", "score"])
 
     chosen = docs.select(*keep)
     schema = ", ".join(f"`{n}` {t}" for n, t in chosen.dtypes)
-    text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__text")
-    return docs.select(*keep, text).mapInArrow(run, schema + ", lang_pred string, score double")
+    text_at = chosen.columns.index(text_col) if text_col in chosen.columns else len(chosen.columns)  # sent once
+    width = len(chosen.columns)
+    return docs.select(*keep, *([] if text_at < width else [text_col])).mapInArrow(run, schema + ", lang_pred string, score double")

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, substrings, topk
+from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, small_batches, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,9 @@ phrases locates each of them in every segment, and the windows around are compar
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 
 import ahocorasick
 import numpy as np
@@ -62,6 +64,13 @@ def anchors(words: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.nda
     return g, at
 
 
+def sliced(batches, rows: int = 512):
+    """The same rows in smaller batches, so that a task holds few whole texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rank, th, raw): a row is known by its id, null last, and its text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -72,31 +81,37 @@ _SEGMENT = "rank long, th long, start int, anchor long, seg1 long, seg2 long, an
 
 
 def _find_segments(window: int, k: int):
-    """From rows with their recurring anchors: a row per occurrence; equal segments carry their text once a batch."""
+    """From rows with their recurring anchors: a row per occurrence of a segment, without text, and one with text per
+    different segment of a slice of the input, with the smallest rank there."""
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
 
     def run(batches):
-        for b in batches:
-            sent: set[int] = set()
+        for b in sliced(batches, 2000):
+            texts: dict[int, list] = {}
             rows: list[tuple] = []
-            for rank, th, raw, known in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                words = raw.split()
-                g, at = anchors(words, window, k)
-                if not len(at):
-                    continue
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                first, last = np.append(0, cuts), np.append(cuts, len(at))
-                keep = np.isin(g[at[first]], np.array(known, np.int64).view(np.uint64))
-                for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
-                    text = b" ".join(words[i : j - 1 + window])
-                    digest = xxhash.xxh3_128_intdigest(text)
-                    fresh = digest not in sent
-                    sent.add(digest)
-                    rows.append((rank, th, i, int(g[at[i]].view(np.int64)), (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), int(at[i]) - i, text.decode() if fresh else None))
-                if len(rows) > 50_000:
-                    yield _batch(rows, names, _SEGMENT)
-                    rows = []
-            yield _batch(rows, names, _SEGMENT)
+            for part in sliced([b], 200):
+                for rank, th, raw, known in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    words = raw.split()
+                    g, at = anchors(words, window, k)
+                    if not len(at):
+                        continue
+                    cuts = np.flatnonzero(np.diff(at)) + 1
+                    first, last = np.append(0, cuts), np.append(cuts, len(at))
+                    keep = np.isin(g[at[first]], np.array(known, np.int64).view(np.uint64))
+                    for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
+                        text = b" ".join(words[i : j - 1 + window])
+                        digest = xxhash.xxh3_128_intdigest(text)
+                        name = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63))
+                        anchor = int(g[at[i]].view(np.int64))
+                        if (seen := texts.get(digest)) is None:
+                            texts[digest] = [rank, None, None, anchor, *name, int(at[i]) - i, text.decode()]
+                        elif rank < seen[0]:
+                            seen[0] = rank
+                        rows.append((rank, th, i, anchor, *name, None, None))
+                if len(rows) + len(texts) > 20_000:
+                    yield _batch([*rows, *map(tuple, texts.values())], names, _SEGMENT)
+                    rows, texts = [], {}
+            yield _batch([*rows, *map(tuple, texts.values())], names, _SEGMENT)
 
     return run
 
@@ -117,47 +132,51 @@ def _resolve(window: int, k: int, shard_segments: int):
     """
     names = [x.split()[0] for x in _OWNED.split(", ")]
 
-    def shard(segments: list[tuple]) -> pa.RecordBatch:
+    def shard(segments: dict[tuple, list]) -> pa.RecordBatch:
         automaton = ahocorasick.Automaton()
-        spaced = []
-        for _, seg1, seg2, shift, anchor_at, rank, text in segments:
-            words = text.split(" ")
-            phrase = " " + " ".join(words[anchor_at : anchor_at + k]) + " "
+        for anchor_at, _, text in segments.values():
+            phrase = " " + " ".join(text.split(" ", anchor_at + k)[anchor_at : anchor_at + k]) + " "
             automaton.add_word(phrase, len(phrase) - 1)
-            spaced.append((seg1, seg2, shift, rank, words, " " + text + " "))
         automaton.make_automaton()
-        owner: dict[bytes, int] = {}
+        place: dict[bytes, int] = {}  # of each window's digest among the owners
+        owner: list[int] = []
         located = []
-        for seg1, seg2, shift, rank, words, text in spaced:
-            starts: set[int] = set()
-            for end, size in automaton.iter(text):
-                at = text.count(" ", 0, end - size + 1) - 1  # the word after the phrase's first space
-                starts.update(range(max(0, at + k - window), min(at, len(words) - window) + 1))
-            # windows by whole text, here as slices of one string
-            edge = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-            keys = {i: xxhash.xxh3_128_digest(text[edge[i] + 1 : edge[i + window]]) for i in starts}
-            for x in keys.values():
-                if rank < owner.get(x, LAST + 1):
-                    owner[x] = rank
-            located.append((seg1, seg2, shift, len(words) - window + 1, keys))
-        rows = [(s1, s2, shift, [owner[keys[i]] if i in keys else LAST for i in range(n)]) for s1, s2, shift, n, keys in located]
-        return _batch(rows, names, _OWNED)
+        for (_, seg1, seg2, shift), (_, rank, text) in segments.items():
+            edge = list(itertools.accumulate((len(w) + 1 for w in text.split(" ")), initial=0))
+            n = len(edge) - window
+            at_start = np.full(n, -1, np.int32)
+            for end, size in automaton.iter(" " + text + " "):
+                at = bisect.bisect_left(edge, end - size)  # the word after the phrase's first space
+                for i in range(max(0, at + k - window), min(at, n - 1) + 1):
+                    if at_start[i] < 0:
+                        x = place.setdefault(xxhash.xxh3_128_digest(text[edge[i] : edge[i + window] - 1]), len(owner))
+                        at_start[i] = x
+                        if x == len(owner):
+                            owner.append(rank)
+                        elif rank < owner[x]:
+                            owner[x] = rank
+            located.append((seg1, seg2, shift, at_start))
+        of = np.array([*owner, LAST], np.int64)
+        return _batch([(s1, s2, shift, of[at].tolist()) for s1, s2, shift, at in located], names, _OWNED)
 
     def run(batches):
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(held) >= shard_segments and row[0] != held[-1][0]:
+        held: dict[tuple, list] = {}
+        last = None
+        for b in sliced(batches, 2000):
+            for spot, seg1, seg2, shift, anchor_at, rank, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(held) >= shard_segments and spot != last:
                     yield shard(held)
-                    held = []
-                held.append(row)
+                    held = {}
+                last = spot
+                seen = held.setdefault((spot, seg1, seg2, shift), [anchor_at, rank, text])
+                seen[1] = min(seen[1], rank)
         if held:
             yield shard(held)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segments: int = 4000, crowded: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segments: int = 1500, crowded: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rank, th, starts array<int>): where repeated windows start, for the rows that have some.
 
     Anchors are counted before they are shuffled and equal segments meet once, so copies cost no more than their
@@ -171,27 +190,29 @@ def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segme
     segments = written(rows.join(per_row, ["rank", "th"]).select("rank", "th", "raw", "known").mapInArrow(_find_segments(window, k), _SEGMENT), "segments")
     drop(marked)
 
-    texts = segments.where("text IS NOT NULL").select("seg1", "seg2", "anchor", "anchor_at", "text")
-    lowest = segments.groupBy("seg1", "seg2").agg(F.min("rank").alias("rank"))
-    distinct = texts.repartition("seg1", "seg2").dropDuplicates(["seg1", "seg2"]).join(lowest, ["seg1", "seg2"])
-    sizes = segments.groupBy("anchor").agg(F.approx_count_distinct("seg1").alias("n")).where(F.col("n") > crowded).select("anchor", F.lit(True).alias("crowd"))
-    placed = distinct.join(sizes, "anchor", "left")
-    calm = placed.where("crowd IS NULL").select(F.xxhash64("anchor").alias("place"), "seg1", "seg2", F.lit(0).alias("shift"), "anchor_at", "rank", "text")
-    words = F.split("text", " ")
-    crowd = placed.where("crowd").select("seg1", "seg2", "anchor", "anchor_at", "rank", words.alias("w"))
-    crowd = crowd.withColumn("shift", F.explode(F.sequence(F.lit(0), F.size("w") - window)))
-    crowd = crowd.select("seg1", "seg2", "shift", F.col("anchor_at") - F.col("shift"), "rank", F.array_join(F.slice("w", F.col("shift") + 1, window), " ").alias("text")).toDF("seg1", "seg2", "shift", "anchor_at", "rank", "text")
-    crowd = crowd.select(F.xxhash64("text").alias("place"), "seg1", "seg2", "shift", "anchor_at", "rank", "text")
-    meeting = calm.unionByName(crowd).repartition("place").sortWithinPartitions("place")
-    owned = meeting.mapInArrow(_resolve(window, k, shard_segments), _OWNED)
-    hits = segments.select("rank", "th", "start", "seg1", "seg2").join(owned, ["seg1", "seg2"]).where(F.exists("owners", lambda o: o < F.col("rank")))
+    texts = segments.where("text IS NOT NULL").drop("th", "start")
+    large = written(texts.groupBy("anchor").agg(F.approx_count_distinct("seg1").alias("n")).where(F.col("n") > crowded).select("anchor"), "crowded-anchors")
+    calm = texts.select(F.xxhash64("anchor").alias("place"), "seg1", "seg2", F.lit(0).alias("shift"), "anchor_at", "rank", "text", "anchor")
+    if large.isEmpty():
+        meeting = calm.drop("anchor")
+    else:
+        words = F.split("text", " ")
+        crowd = texts.join(large, "anchor").select("seg1", "seg2", "anchor_at", "rank", words.alias("w"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("shift"))
+        crowd = crowd.select("seg1", "seg2", "shift", (F.col("anchor_at") - F.col("shift")).alias("anchor_at"), "rank", F.array_join(F.slice("w", F.col("shift") + 1, window), " ").alias("text"))
+        meeting = calm.join(large, "anchor", "left_anti").drop("anchor").unionByName(crowd.withColumn("place", F.xxhash64("text")))
+    meeting = meeting.select("place", "seg1", "seg2", "shift", "anchor_at", "rank", "text")
+    owned = meeting.repartition("place").sortWithinPartitions("place").mapInArrow(_resolve(window, k, shard_segments), _OWNED)
+    hits = segments.where("text IS NULL").select("rank", "th", "start", "seg1", "seg2").join(owned, ["seg1", "seg2"]).where(F.exists("owners", lambda o: o < F.col("rank")))
     hits = hits.select("rank", "th", F.transform(F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda i: F.get("owners", i) < F.col("rank")), lambda i: i + F.col("start") + F.col("shift")).alias("starts"))
-    return hits.groupBy("rank", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    out = written(hits.groupBy("rank", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
+    drop(segments)
+    drop(large)
+    return out
 
 
 def _anchors_of_rows(window: int, k: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             for rank, th, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 g, at = anchors(raw.split(), window, k)
@@ -225,7 +246,7 @@ def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
     """(doc_id, n_words, n_removed, kept): kept words of each row joined by one space."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, gone, kept = [], [], []
             for raw, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = raw.split()
@@ -246,7 +267,7 @@ def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     schema = docs.schema
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text, raw, starts in zip(b.column(text_col).to_pylist(), b.column("__raw").to_pylist(), b.column("__starts").to_pylist(), strict=True):
                 if not starts:

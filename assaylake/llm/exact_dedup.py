@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.scratch import written
+
 NODE_BYTES = 300  # what a node costs besides its label
 
 
@@ -120,5 +122,5 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", budget_bytes: int = 96
     local = rows.select("n_bytes", "text_sha256", F.col("doc_id").alias("owner"), F.lit(1).cast("long").alias("copies"), "text").mapInArrow(_through_tries(keep, budget_bytes, True), schema + ", text binary")
     resolved = local.repartition("n_bytes", "text_sha256").mapInArrow(_through_tries(keep, budget_bytes, False), schema)
     best = F.max if keep == "largest" else F.min
-    owners = resolved.groupBy("n_bytes", "text_sha256").agg(best("owner").alias("keep_id"), F.sum("copies").alias("group_size"))
+    owners = written(resolved.groupBy("n_bytes", "text_sha256").agg(best("owner").alias("keep_id"), F.sum("copies").alias("group_size")), "owners")
     return rows.drop("text").join(owners, ["n_bytes", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

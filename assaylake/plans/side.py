@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import sql
 from assaylake.model import r6
-from assaylake.operators import ensemble, graph
+from assaylake.operators import ensemble, graph, verify
 from assaylake.plans.common import MODELS, PCC_SQL, PRED_SQL, delta, predictions
 from assaylake.plans.engineering import _WORDS, bits
 from assaylake.plans.registry import query, r
@@ -290,9 +290,8 @@ def vf_claims_audit(s, d):
 
 @query("vf_manifest")
 def vf_manifest(s, d):
-    """Path, size and digest of the tables' files; content is hashed where it lies."""
-    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{d}/nation.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and digest of every table's files, against the manifest stored beside them where there is one."""
+    return verify.compare(verify.manifest(s, d), verify.stored(s, d))
 
 
 @query("stat_masked_delta_check", sql(f"SELECT level, {r('avg(abs(value))')} AS mean_abs, count(*) AS n FROM delta GROUP BY 1"))

@@ -8,7 +8,7 @@ may be null or tie: each input row is packed for itself. Other columns are not r
 from __future__ import annotations
 
 import functools
-import itertools
+import json
 import math
 import os
 import re
@@ -17,6 +17,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +25,35 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
+_LATIN_ENDS = "\u0250"  # below it no letter is composed of others, and none changes its case by what stands around it
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in vocabularies of bytes: itself if it is seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(unseen)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _cut(layout: dict) -> regex.Pattern | None:
+    """The pattern that cuts a lower-cased text into what is merged by itself, if the tokenizer works in that way."""
+    normal = [x["type"] for x in (layout.get("normalizer") or {}).get("normalizers", [])]
+    steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
+        if steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
+            return regex.compile(steps[0]["pattern"]["Regex"])
+    return None
+
+
 class WordTokenizer:
     """Ids of whole texts, with ids of white-space separated words remembered up to `cache_size` words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.
-    Words not yet known are encoded many at a time.
+    Words not yet known are encoded many at a time. Latin words are first cut as the tokenizer's own pattern cuts them,
+    after lower-casing: its merges never cross a cut, so "Word," needs "word" and "," alone, mostly known already.
     """
 
     def __init__(self, path: str, cache_size: int = 500_000):
@@ -40,13 +65,27 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.ends))]
+        with open(path, encoding="utf-8") as f:
+            self.cut = _cut(json.load(f))
 
     def _learn(self, words: list[str]) -> None:
-        """Letters alone are one unit of the tokenizer, so its word ends part them; other words are parted by offsets."""
-        plain = [w for w in words if w.isalpha()]
+        whole, cut = words, {}
+        if self.cut:
+            cut = {w: [w.lower()] if w.isalpha() else self.cut.findall(w.lower()) for w in words if w.isascii() or max(w) < _LATIN_ENDS}
+            whole = [w for w in words if w not in cut]
+            merge = self.tokenizer.model.tokenize
+            for x in {x for c in cut.values() for x in c if x not in self.pieces}:
+                letters = x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self.pieces[x] = b"".join([self.raw[t.id] for t in merge(letters)])
+        for w, c in cut.items():
+            self.known[w] = b"".join([self.pieces[x] for x in c])
+        # letters alone are one unit of the tokenizer, so its word ends part them; other words are parted by offsets
+        plain = [w for w in whole if w.isalpha()]
         for i in range(0, len(plain), 2000):
             self._parted(plain[i : i + 2000], by_ends=True)
-        rest = [w for w in words if not w.isalpha()]
+        rest = [w for w in whole if not w.isalpha()]
         for i in range(0, len(rest), 2000):
             self._parted(rest[i : i + 2000], by_ends=False)
 
@@ -69,6 +108,8 @@ class WordTokenizer:
         known, out, late = self.known, [], []
         if len(known) > self.cache_size:
             known.clear()
+        if len(self.pieces) > self.cache_size:
+            self.pieces.clear()
         for t in texts:
             words = _ASCII_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()
             found = list(map(known.get, words))
@@ -84,6 +125,7 @@ class WordTokenizer:
             for w in new:
                 if len(w) > 100:
                     del known[w]
+                    self.pieces.pop(w.lower(), None)
         return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
@@ -155,7 +197,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, docs_per_group: int = 20_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pieces() with sequence_id and offset of each.
 
-    Documents are dealt to groups of about `docs_per_group` by a hash of id and content, and each group is packed
+    Pieces are dealt to groups, one for about `docs_per_group` documents, by a hash of id, place and content, and each group is packed
     by itself: a group's size does not grow with the table, and no key, a null id included, gathers in one group.
     Only lengths and checksums are shuffled, unless `with_ids`.
     """
@@ -169,6 +211,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
         out["sequence_id"], out["offset"] = int(rows["pack_group"].iloc[0]) * 2**32 + bins, offsets
         return out
 
-    group = F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32", F.lit("pack")), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32", F.lit("pack")), F.lit(groups))
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(run, schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.scratch import written
+
 N, ALPHABET, DIMENSIONS, SEED = 3, 40, 512, 7  # n-gram length, letter codes, width of the vectors, of the generator
 
 
@@ -86,8 +88,8 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return pd.DataFrame(out, columns=["lang", "vector"])
 
 
-def predict(docs: DataFrame, learned: pd.DataFrame, *keep: str | Column, text_col: str = "text") -> DataFrame:
-    """The columns `keep` of each row with lang_pred and score, the cosine with that language's prototype (0 to 1).
+def predict(docs: DataFrame, learned: pd.DataFrame, *keep: str | Column, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of each row with the language and the cosine with its prototype (0 to 1), under `names`.
 
     The prototypes are a few vectors of fixed width; they travel with the task.
     """
@@ -109,10 +111,32 @@ def predict(docs: DataFrame, learned: pd.DataFrame, *keep: str | Column, text_co
                 best = int(np.argmax(cosines))
                 lang.append(langs[best])
                 score.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:width], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:width], *names])
 
     chosen = docs.select(*keep)
     schema = ", ".join(f"`{n}` {t}" for n, t in chosen.dtypes)
     text_at = chosen.columns.index(text_col) if text_col in chosen.columns else len(chosen.columns)  # sent once
     width = len(chosen.columns)
-    return docs.select(*keep, *([] if text_at < width else [text_col])).mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.select(*keep, *([] if text_at < width else [text_col])).mapInArrow(run, schema + f", `{names[0]}` string, `{names[1]}` double")
+
+
+def keep_known(docs: DataFrame, sigmas: float = 8.0, least: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose language can be told, all columns as they were but a null language, which is filled in.
+
+    A row goes if its text has no letter, or if its cosine is over `sigmas` standard deviations below the mean of the
+    rows with a language of like length (powers of two): by Chebyshev's inequality at most 1 / sigmas ** 2 of those
+    can go, whatever their distribution. Lengths of which under `least` rows have a language have no such bound, and
+    where nothing can be learned only texts without a letter go.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    learned = profiles(docs, text_col, lang_col)
+    if learned.empty:
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    judged = written(predict(docs, learned, *columns, text_col=text_col, names=("__lang_pred", "__lang_cosine")), "judged")
+    size = F.floor(F.log2(F.length(text_col) + 1.0)).alias("__lang_size")
+    labelled = judged.where(F.col(lang_col).isNotNull() & (F.col("__lang_pred") != "und")).groupBy(size)
+    bounds = labelled.agg(F.count("*").alias("n"), F.avg("__lang_cosine").alias("m"), F.stddev_pop("__lang_cosine").alias("sd")).where(F.col("n") >= least)
+    bounds = F.broadcast(bounds.select("__lang_size", (F.col("m") - sigmas * F.col("sd")).alias("__lang_bound")))  # a row for each power of two
+    near = judged.withColumn("__lang_size", size).join(bounds, "__lang_size", "left")
+    near = near.where((F.col("__lang_pred") != "und") & (F.col("__lang_bound").isNull() | (F.col("__lang_cosine") >= F.col("__lang_bound"))))
+    return near.select(*[F.coalesce(c, F.col("__lang_pred")).alias(lang_col) if n == lang_col else c for n, c in zip(docs.columns, columns, strict=True)])

@@ -235,11 +235,11 @@ def covered(n_words: int, starts: list[int] | None, window: int) -> np.ndarray:
 
 
 def _with_starts(docs: DataFrame, window: int, id_col: str, text_col: str, **more) -> DataFrame:
-    """docs with __raw and __starts, null where nothing repeats."""
-    repeats = repeated_windows(docs, window, id_col=id_col, text_col=text_col, **more).withColumnsRenamed({"rank": "__rank", "th": "__th", "starts": "__starts"})
+    """docs with __sub_raw and __sub_starts, null where nothing repeats."""
+    repeats = repeated_windows(docs, window, id_col=id_col, text_col=text_col, **more).withColumnsRenamed({"rank": "__sub_rank", "th": "__sub_th", "starts": "__sub_starts"})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__rank": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__th": F.xxhash64(text), "__raw": text.cast("binary")})
-    return keyed.join(repeats, ["__rank", "__th"], "left").drop("__rank", "__th")
+    keyed = docs.withColumns({"__sub_rank": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__sub_th": F.xxhash64(text), "__sub_raw": text.cast("binary")})
+    return keyed.join(repeats, ["__sub_rank", "__sub_th"], "left").drop("__sub_rank", "__sub_th")
 
 
 def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -256,7 +256,7 @@ def kept_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
                 kept.append((b" ".join(words) if not gone[-1] else b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return _with_starts(docs, window, id_col, text_col, **more).select(F.col(id_col).cast("long").alias("doc_id"), "__raw", "__starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return _with_starts(docs, window, id_col, text_col, **more).select(F.col(id_col).cast("long").alias("doc_id"), "__sub_raw", "__sub_starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -269,7 +269,7 @@ def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     def run(batches):
         for b in sliced(batches):
             out = []
-            for text, raw, starts in zip(b.column(text_col).to_pylist(), b.column("__raw").to_pylist(), b.column("__starts").to_pylist(), strict=True):
+            for text, raw, starts in zip(b.column(text_col).to_pylist(), b.column("__sub_raw").to_pylist(), b.column("__sub_starts").to_pylist(), strict=True):
                 if not starts:
                     out.append(text)
                     continue
@@ -280,4 +280,4 @@ def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
             columns = [pa.array(out, pa.string()) if f.name == text_col else b.column(i) for i, f in enumerate(schema.fields)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return _with_starts(docs, window, id_col, text_col, **more).select(*docs.columns, "__raw", "__starts").mapInArrow(run, schema)
+    return _with_starts(docs, window, id_col, text_col, **more).select(*[F.col(f"`{c}`") for c in docs.columns], "__sub_raw", "__sub_starts").mapInArrow(run, schema)

@@ -58,11 +58,11 @@ def gr_coresponse_knn(s, d):
     return c.withColumn("rk", rk).where("rk <= 5").select("feature", "neighbour", r6(F.greatest("w", F.lit(0.0))).alias("weight"))
 
 
-_GROUPS = "mem AS (SELECT DISTINCT p_type AS grp, p_brand AS feature_id FROM part WHERE p_size < 5), kk AS (SELECT grp, count(*) AS k FROM mem GROUP BY 1), ed AS (SELECT grp, a.feature_id AS a, b.feature_id AS b, 1.0 / (k - 1) AS w FROM mem a JOIN mem b USING (grp) JOIN kk USING (grp) WHERE a.feature_id < b.feature_id AND k > 1)"
+_GROUPS = "mem AS (SELECT DISTINCT p_type AS grp, p_brand AS feature_id FROM part), kk AS (SELECT grp, count(*) AS k FROM mem GROUP BY 1), ed AS (SELECT grp, a.feature_id AS a, b.feature_id AS b, 1.0 / (k - 1) AS w FROM mem a JOIN mem b USING (grp) JOIN kk USING (grp) WHERE a.feature_id < b.feature_id AND k > 1)"
 
 
 def _complexes(s, d):
-    m = fx.table(s, d, "part").where("p_size < 5").select(F.col("p_type").alias("grp"), F.col("p_brand").alias("feature_id")).distinct()
+    m = fx.table(s, d, "part").select(F.col("p_type").alias("grp"), F.col("p_brand").alias("feature_id")).distinct()
     k = m.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
     a, b = m.toDF("grp", "a"), m.toDF("grp", "b")
     return a.join(b, "grp").where("a < b").join(F.broadcast(k), "grp").select("grp", "a", "b", (1.0 / (F.col("k") - 1)).alias("w"))
@@ -76,7 +76,7 @@ def kb_complex_edges(s, d):
 @query("kb_complex_penalty", sql(f"SELECT {r('avg(p)')} AS penalty, count(*) AS n FROM (SELECT x.sample_id, sum(w * (x.value - z.value) * (x.value - z.value)) AS p FROM ed JOIN y x ON x.feature_id = a JOIN y z ON z.feature_id = b AND z.sample_id = x.sample_id GROUP BY 1)", _GROUPS))
 def kb_complex_penalty(s, d):
     y = normalised(s, d)
-    e = F.broadcast(_complexes(s, d))
+    e = _complexes(s, d).groupBy("a", "b").agg(F.sum("w").alias("w"))  # a pair of several groups weighs their sum
     x = y.select("sample_id", F.col("feature_id").alias("a"), F.col("value").alias("xa")).join(e, "a").join(y.select("sample_id", F.col("feature_id").alias("b"), F.col("value").alias("xb")), ["sample_id", "b"])
     p = x.groupBy("sample_id").agg(F.sum(F.col("w") * (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))).alias("p"))
     return p.agg(r6(F.avg("p")).alias("penalty"), F.count("*").alias("n"))
@@ -104,10 +104,11 @@ def tg_expectation_check(s, d):
     return e.join(_potency(s, d), ["entity", "feature"], "left").select("entity", "feature", "positive", hit.alias("hit"), (hit == F.col("positive")).alias("holds"))
 
 
-@query("fe_flagged_zero_fill", sql(f"SELECT feature_id, {r('coalesce(max(pact), 0)')} AS descriptor, CAST(count(pact) > 0 AS INT) AS present FROM features LEFT JOIN best ON entity = feature_id AND target < 3 GROUP BY 1", _ACT))
+@query("fe_flagged_zero_fill", f"SELECT p_partkey AS feature, {r('coalesce(max(5 + l_tax * 10), 0)')} AS descriptor, CAST(count(l_partkey) > 0 AS INT) AS present FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_discount = 0 GROUP BY 1")
 def fe_flagged_zero_fill(s, d):
-    b = _best(s, d).where("target < 3").groupBy(F.col("entity").alias("feature_id")).agg(F.max("pact").alias("pact"))
-    return fx.features(s, d).select("feature_id").join(b, "feature_id", "left").select("feature_id", r6(F.coalesce("pact", F.lit(0.0))).alias("descriptor"), F.col("pact").isNotNull().cast("int").alias("present"))
+    """The descriptor is a feature's largest curated value; some features have none and get zero and a flag."""
+    curated = fx.table(s, d, "lineitem").where("l_discount = 0").groupBy(F.col("l_partkey").alias("feature")).agg(F.max(5 + F.col("l_tax") * 10).alias("v"))
+    return fx.table(s, d, "part").select(F.col("p_partkey").alias("feature")).join(curated, "feature", "left").select("feature", r6(F.coalesce("v", F.lit(0.0))).alias("descriptor"), F.col("v").isNotNull().cast("int").alias("present"))
 
 
 @query("fe_attach_entity_block", sql("SELECT sample_id, compound, n_train, (SELECT count(*) FROM samples t WHERE t.role = 'treatment' AND t.compound NOT IN (SELECT compound FROM samples WHERE role = 'treatment')) AS n_unknown FROM samples JOIN (SELECT compound, count(*) FILTER (split = 'train') AS n_train FROM samples WHERE role = 'treatment' GROUP BY 1) USING (compound) WHERE role = 'treatment'"))

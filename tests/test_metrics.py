@@ -10,14 +10,16 @@ def _pairs(spark, rows):
 
 
 def _hand(spark):
-    dt, dp = [3, -2, 1.5, 0.2, -0.1, 0.5], [2.5, -0.4, 4, 1.4, 0.0, 0.1]
-    return _pairs(spark, {"a": [(f"f{i}", float(t), float(p)) for i, (t, p) in enumerate(zip(dt, dp, strict=True))]})
+    """Cut at 1: true changes are f0, f2, f4; f4 is just missed, f3 is called wrongly; f1 is no change at all."""
+    cells = [("f0", -1.4, -2.0), ("f1", 0.0, 0.3), ("f2", 2.2, 1.1), ("f3", 0.9, -1.6), ("f4", 1.25, 0.99), ("f5", -0.4, 0.99)]
+    return _pairs(spark, {"a": cells})
 
 
 def test_dep_hand_case(spark):
     c = metrics.dep_counts(_hand(spark)).first()
     assert (c.tp, c.fp, c.fn) == (2, 1, 1)
     assert all(math.isclose(x, 2 / 3) for x in (c.precision, c.recall, c.f1))
+    # the three largest predicted changes are f0, f3, f2: two of three true ones
     assert math.isclose(metrics.dep_rank(_hand(spark)).first().recall_at_k, 2 / 3)
 
 

@@ -4,7 +4,7 @@ import math
 import random
 
 from assaylake.functions.components import connected_components
-from assaylake.operators import ensemble, features, matching, normalize
+from assaylake.operators import ensemble, features, graph, matching, normalize
 
 
 def test_components_match_union_find(spark):
@@ -60,3 +60,36 @@ def test_gram_scores_equal_direct_scores(spark):
     mt, mp = sum(t) / 50, sum(p) / 50
     want = sum((x - mt) * (y - mp) for x, y in zip(t, p, strict=True)) / math.sqrt(sum((x - mt) ** 2 for x in t) * sum((y - mp) ** 2 for y in p))
     assert math.isclose(got, want, abs_tol=1e-9)
+
+
+def test_graph_components_match_union_find_and_keep_isolated_nodes(spark):
+    rng = random.Random(5)
+    pairs = {(f"s{rng.randrange(60)}", f"p{rng.randrange(90)}") for _ in range(70)}
+    nodes = sorted({n for e in pairs for n in e} | {"s98", "s99"})
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    edges = graph.build_edges(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double"))
+    got = {r.node: r.component for r in graph.components(edges, spark.createDataFrame([(n,) for n in nodes], "node string")).collect()}
+    assert got == {n: root(n) for n in nodes}
+
+
+def test_tanimoto_is_exact_at_every_similarity(spark):
+    rng = random.Random(8)
+    sets = {i: {f"b{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 60))} for i in range(80)}
+    sets |= {90 + i: set(sets[i]) | {f"own{i}"} for i in range(10)} | {200: {"alone"}, 201: {"b1"}}
+    fit = [i for i in sets if i % 5]
+    want = {}
+    for i, a in sets.items():
+        best = max(((len(a & sets[j]) / len(a | sets[j]), -j) for j in fit if j != i and a & sets[j]), default=(0.0, None))
+        want[i] = (None if best[1] is None else -best[1], round(best[0], 9))
+    bits = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s], "entity long, bit string")
+    found = graph.tanimoto_max(bits, spark.createDataFrame([(i,) for i in fit], "entity long")).collect()
+    assert {r.entity: (r.nearest, round(r.similarity, 9)) for r in found} == want

@@ -9,7 +9,7 @@ import pytest
 from assaylake import plans
 
 SF = "/root/testdata/sf0.001"
-SOME = ["src_align_check", "sink_wide_pivot", "qc_match_cascade", "qc_sample_metrics", "ctl_delta", "ctl_match_report", "split_inner_regimes", "leak_split_audit", "frz_mu_ctx", "fe_oof_group_mean", "en_pareto_front", "gr_components", "tg_map_channels", "tx_absence_survey"]
+SOME = ["src_align_check", "sink_wide_pivot", "qc_match_cascade", "qc_sample_metrics", "ctl_delta", "ctl_match_report", "split_inner_regimes", "leak_split_audit", "frz_mu_ctx", "fe_oof_group_mean", "en_pareto_front", "gr_degree", "sim_tanimoto_max", "sim_domain_shift", "kb_complex_penalty", "fe_flagged_zero_fill", "tg_map_channels", "tx_absence_survey"]
 
 
 def _plain(v):

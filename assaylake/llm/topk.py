@@ -3,7 +3,8 @@
 Vectors are cut into slices of dimensions; a slice's part of a score is a local score. Phase one gathers each slice's
 local top lists and scores what is on them exactly: the k-th best is a bound. If every local score of a vector is
 below bound / slices, its score is below the bound, so phase two collects what reaches that cutoff in some slice.
-Phase three resolves the local scores not yet known and ranks exactly.
+Phase three resolves what it collects: the other slices' local scores are added in the task that holds the vector, and
+only what reaches the bound itself is sent on to be ranked.
 
 Semantics. Components become floor(scale * x), scores are integers (held to the range of a long). Vectors that are
 null, empty, or hold null or non-finite components take no part, nor do those of another length than the queries'.
@@ -123,7 +124,7 @@ def _block(spark, table: DataFrame, ids: np.ndarray, q: np.ndarray, width: int,
     lists = same.mapInArrow(gather, "q int, slice int, rep long, part double")
     best = lists.withColumn("n", F.row_number().over(Window.partitionBy("q", "slice").orderBy(F.desc("part"), "rep"))).where(F.col("n") <= k).select("q", "rep").distinct()
 
-    def exact(batches):  # the local scores still unknown are computed where the vectors are
+    def exact(batches):  # the few of phase one's lists
         for b in batches:
             x = _matrix(b.column(2), width)
             own = shared.value[1]
@@ -135,23 +136,27 @@ def _block(spark, table: DataFrame, ids: np.ndarray, q: np.ndarray, width: int,
 
     bound = Window.partitionBy("q").orderBy(F.desc("score"))
     cut = resolved(best).withColumn("n", F.row_number().over(bound)).where(F.col("n") == k).select("q", "score").toPandas()
-    cutoff = np.full(len(ids), -np.inf)  # fewer than k candidates: everything is collected
-    cutoff[cut["q"].to_numpy(int)] = cut["score"].to_numpy(float) / m
-    cutoff = np.nextafter(cutoff, -np.inf)
-    safe = spark.sparkContext.broadcast(cutoff)
+    least = np.full(len(ids), -(2**63), np.int64)  # fewer than k candidates: everything is collected
+    least[cut["q"].to_numpy(int)] = cut["score"].to_numpy(np.int64)
+    safe = spark.sparkContext.broadcast(least)
 
-    def collect(batches):  # phase two
+    def collect(batches):  # phases two and three: what reaches the cutoff in a slice, its other local scores added where it lies
+        cutoff = np.where(safe.value == -(2**63), -np.inf, np.nextafter(safe.value / m, -np.inf))[:, None]
         for b in batches:
             if not b.num_rows:
                 continue
-            reps, reached = b.column(0).to_numpy(), None
-            for p in parts(b):
-                hit = p.astype(float) >= safe.value[:, None]
-                reached = hit if reached is None else reached | hit
+            local = parts(b)
+            reached = np.logical_or.reduce([p.astype(float) >= cutoff for p in local])
             qi, at = np.nonzero(reached & others(b))
-            yield pa.RecordBatch.from_arrays([pa.array(qi.astype(np.int32)), pa.array(reps[at], pa.int64())], ["q", "rep"])
-
-    found = resolved(same.mapInArrow(collect, "q int, rep long").distinct())  # phase three
+            whole = [p[qi, at] for p in local]
+            if any(p.dtype == object or np.abs(p).max(initial=0) * m >= EXACT for p in whole):
+                score = np.array([_as_long(sum(int(p[i]) for p in whole)) for i in range(len(qi))], np.int64)
+            else:
+                score = sum(whole).astype(np.int64)
+            good = score >= safe.value[qi]
+            yield pa.RecordBatch.from_arrays([pa.array(qi[good].astype(np.int32)), b.column(1).take(pa.array(at[good])), pa.array(score[good])], ["q", "ids", "score"])
+
+    found = same.mapInArrow(collect, "q int, ids array<long>, score long")
     named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.int64())}))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     each = found.join(F.broadcast(named), "q").select("q", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")

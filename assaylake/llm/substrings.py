@@ -181,7 +181,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segme
 
     Anchors are counted before they are shuffled and equal segments meet once, so copies cost no more than their
     number of anchors. A meeting place of more than `crowded` different segments is split: each of its windows goes
-    to a place of its own text, so that equal ones still meet.
+    to a place of its own text, equal ones aggregated to one with the smallest id before they are shuffled.
     """
     rows = _keyed(docs, id_col, text_col)
     marked = written(rows.select("rank", "th", "raw").mapInArrow(_anchors_of_rows(window, k), "rank long, th long, anchor long"), "anchors")
@@ -193,20 +193,28 @@ def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segme
     texts = segments.where("text IS NOT NULL").drop("th", "start")
     large = written(texts.groupBy("anchor").agg(F.approx_count_distinct("seg1").alias("n")).where(F.col("n") > crowded).select("anchor"), "crowded-anchors")
     calm = texts.select(F.xxhash64("anchor").alias("place"), "seg1", "seg2", F.lit(0).alias("shift"), "anchor_at", "rank", "text", "anchor")
+    meeting = ["place", "seg1", "seg2", "shift", "anchor_at", "rank", "text"]
+
+    def resolved(x: DataFrame) -> DataFrame:
+        return x.select(meeting).repartition("place").sortWithinPartitions("place").mapInArrow(_resolve(window, k, shard_segments), _OWNED)
+
+    crowd = None
     if large.isEmpty():
-        meeting = calm.drop("anchor")
+        owned = resolved(calm)
     else:
         words = F.split("text", " ")
         crowd = texts.join(large, "anchor").select("seg1", "seg2", "anchor_at", "rank", words.alias("w"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("shift"))
         crowd = crowd.select("seg1", "seg2", "shift", (F.col("anchor_at") - F.col("shift")).alias("anchor_at"), "rank", F.array_join(F.slice("w", F.col("shift") + 1, window), " ").alias("text"))
-        meeting = calm.join(large, "anchor", "left_anti").drop("anchor").unionByName(crowd.withColumn("place", F.xxhash64("text")))
-    meeting = meeting.select("place", "seg1", "seg2", "shift", "anchor_at", "rank", "text")
-    owned = meeting.repartition("place").sortWithinPartitions("place").mapInArrow(_resolve(window, k, shard_segments), _OWNED)
+        crowd = written(crowd.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(7), "text")}), "crowded-windows")
+        one = crowd.groupBy("d1", "d2").agg(F.min("rank").alias("rank"), F.first("anchor_at").alias("anchor_at"), F.first("text").alias("text"))
+        found = resolved(one.select(F.col("d1").alias("place"), F.col("d1").alias("seg1"), F.col("d2").alias("seg2"), F.lit(0).alias("shift"), "anchor_at", "rank", "text"))
+        found = crowd.select("seg1", "seg2", "shift", "d1", "d2").join(found.select(F.col("seg1").alias("d1"), F.col("seg2").alias("d2"), "owners"), ["d1", "d2"])
+        owned = resolved(calm.join(large, "anchor", "left_anti")).unionByName(found.select("seg1", "seg2", "shift", "owners"))
     hits = segments.where("text IS NULL").select("rank", "th", "start", "seg1", "seg2").join(owned, ["seg1", "seg2"]).where(F.exists("owners", lambda o: o < F.col("rank")))
     hits = hits.select("rank", "th", F.transform(F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda i: F.get("owners", i) < F.col("rank")), lambda i: i + F.col("start") + F.col("shift")).alias("starts"))
     out = written(hits.groupBy("rank", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
-    drop(segments)
-    drop(large)
+    for x in (segments, large, crowd):
+        drop(x)
     return out
 
 

@@ -65,3 +65,11 @@ def bit_filter(bits: DataFrame, fit: DataFrame, at_least: int = 2) -> DataFrame:
     """Bits set in at least two and in at most n - 2 of the fit entities. bits: (entity, bit)."""
     n = fit.select("entity").distinct().agg(F.count("*").alias("n"))
     return bits.join(fit.select("entity").distinct(), "entity", "left_semi").groupBy("bit").agg(F.countDistinct("entity").alias("k")).join(F.broadcast(n)).where((F.col("k") >= at_least) & (F.col("k") <= F.col("n") - at_least)).select("bit", "k")
+
+
+def attach_block(df: DataFrame, block: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """df with the columns of its entities' block; an entity that the block does not know is an error, unless not
+    `strict`: then its rows go, and the caller counts them."""
+    if strict and not (lost := df.join(block, key, "left_anti").select(key).distinct().limit(5)).isEmpty():
+        raise ValueError(f"not in the block: {', '.join(str(r[0]) for r in lost.collect())}")
+    return df.join(block, key)

@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap_ci(per_sample: DataFrame, *keys: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, n, mean, lo, hi) of the mean of `value`; intervals are NULL below three values.
+def poisson_weight(rep: str, unit: str, seed: int = 42) -> Column:
+    """A Poisson(1) count from the hash of repetition and unit: the same wherever a row lies and however often it is asked."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(rep), F.col(unit))), 1, 8), 16, 10).cast("double") / 2.0**32
+    out = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        out = F.when(u < POISSON[k], k).otherwise(out)
+    return out
+
+
+#: Cumulative probabilities of a Poisson(1) count, from 0 on.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+def bootstrap_ci(per_sample: DataFrame, *keys: str, reps: int = 1000) -> DataFrame:
+    """(keys, n, mean, lo, hi) of the mean of `value` by (keys, sample_id); intervals are NULL below three values.
+
+    Every sample is drawn a Poisson number of times in each repetition, so sums of a repetition are partial sums of
+    whatever rows a task has; only as many numbers as there are repetitions come together for a key. Samples of one id
+    are drawn alike under every key, as paired comparisons need.
+    """
+    known = per_sample.where("value IS NOT NULL").select(*keys, "sample_id", "value")
+    whole = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    drawn = known.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight("rep", "sample_id"))
+    means = drawn.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
+    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    enough = lambda c: F.when(F.col("n") >= 3, F.col(c)).alias(c)
+    return whole.join(ends, list(keys)).select(*keys, "n", "mean", enough("lo"), enough("hi"))
+
+
+def gram(vectors: DataFrame, array_col: str) -> DataFrame:
+    """(a, b, s, n): for each pair of places a, b the sum of products over all rows, n the rows; nulls count as 0.
 
-    A group is one vector of per-sample values, as long as a split has samples, never the cells.
+    A partition adds up its own matrix, so what is shuffled is one matrix of places for each partition.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values("sample_id")["value"].dropna().to_numpy()
-        out = {k: rows[k].iloc[0] for k in keys} | {"n": len(v), "mean": float(v.mean()) if len(v) else None, "lo": None, "hi": None}
-        if len(v) >= 3:
-            rng = np.random.default_rng(seed)
-            means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(reps)])
-            out["lo"], out["hi"] = (float(x) for x in np.percentile(means, [2.5, 97.5]))
-        return pd.DataFrame([out]).astype({"mean": "float64", "lo": "float64", "hi": "float64"})
+    def add_up(batches):
+        total, n = None, 0
+        for batch in batches:
+            x = np.array([[0.0 if v is None else v for v in r] for r in batch.column(0).to_pylist()], float)
+            if len(x):
+                total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
+        if total is not None:
+            a, b = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(total.ravel()), pa.array(np.full(total.size, n), pa.int64())], ["a", "b", "s", "n"])
 
-    return per_sample.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n long, mean double, lo double, hi double")
+    rows = vectors.where(F.col(array_col).isNotNull()).select(F.col(array_col).cast("array<double>"))
+    return rows.mapInArrow(add_up, "a int, b int, s double, n long").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def pca(dense: DataFrame, fit: DataFrame, k: int = 10) -> tuple[DataFrame, list[float]]:

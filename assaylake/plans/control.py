@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import level_sql, sql
+from assaylake.functions.scratch import written
 from assaylake.model import CONTROL_LEVELS, r6
 from assaylake.operators import matching, metrics
 from assaylake.plans.common import PCC_SQL, delta, normalised, treated
@@ -102,9 +103,12 @@ def _both_anchors(s, d):
     return matching.anchor(normalised(s, d), fx.samples(s, d)).join(rec, ["sample_id", "feature_id"], "full")
 
 
-@query("ctl_anchor_identity", sql("SELECT count(*) FILTER (a.control IS NOT NULL AND b.control IS NOT NULL) AS shared, round(max(abs(a.control - b.control)), 4) + 0.0 AS max_deviation, count(a.control) AS derived, count(b.control) AS recovered, coalesce(max(abs(a.control - b.control)), 0) <= 1e-4 AS same FROM anchor a FULL JOIN recovered b USING (sample_id, feature_id)", _ANCHOR))
+@query("ctl_anchor_identity", sql("SELECT count(*) FILTER (a.control IS NOT NULL AND b.control IS NOT NULL) AS shared, round(max(abs(a.control - b.control)), 4) + 0.0 AS max_deviation, count(a.control) AS derived, count(b.control) AS recovered, coalesce(max(abs(a.control - b.control)), 0) <= 1e-4 AS same FROM anchor a FULL JOIN (SELECT sample_id, feature_id, y - round(value, 5) AS control FROM delta) b USING (sample_id, feature_id)", _ANCHOR))
 def ctl_anchor_identity(s, d):
-    x = _both_anchors(s, d)
+    """Anchors made from the controls against those that the exported matrix, read back, gives; no more than 1e-4 apart."""
+    export = written(delta(s, d).select("sample_id", "feature_id", "y", F.format_string("%.5f", F.col("value")).alias("exported")), "exported-delta")
+    rec = export.select("sample_id", "feature_id", (F.col("y") - F.col("exported").cast("double")).alias("recovered"))
+    x = matching.anchor(normalised(s, d), fx.samples(s, d)).join(rec, ["sample_id", "feature_id"], "full")
     dev = F.max(F.abs(F.col("control") - F.col("recovered")))
     return x.agg(F.count(F.when(F.col("control").isNotNull() & F.col("recovered").isNotNull(), 1)).alias("shared"), (F.round(dev, 4) + 0.0).alias("max_deviation"), F.count("control").alias("derived"), F.count("recovered").alias("recovered"), (F.coalesce(dev, F.lit(0.0)) <= 1e-4).alias("same"))
 

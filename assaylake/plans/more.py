@@ -7,13 +7,15 @@ from pyspark.sql import Window
 
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import sql
+from assaylake.functions.scratch import written
 from assaylake.model import r6
-from assaylake.operators import helpers, metrics, normalize, profile
-from assaylake.plans.common import normalised, treated
+from assaylake.operators import features, helpers, metrics, normalize, profile
+from assaylake.plans.common import PRED_SQL, normalised, treated
 from assaylake.plans.qc import _RATES
 from assaylake.plans.registry import query, r
-from assaylake.plans.scoring import _LONG, _SPEC, _by_model, _scores, metric_rows
-from assaylake.plans.side import _ACT, _MAP, _best, _potency
+from assaylake.plans.scoring import _COUNTS, _LONG, _SC, _SPEC, _by_model, _scores, metric_rows
+from assaylake.plans.side import _ACT, _MAP, _potency
+from assaylake.sources import tables
 
 
 @query("tf_frozen_impute", sql(f"SELECT s.sample_id, f.feature_id, {r('coalesce(y.value, fill, (SELECT median(fill) FROM fills))')} AS value, y.value IS NULL AS imputed FROM samples s CROSS JOIN features f LEFT JOIN y ON y.sample_id = s.sample_id AND y.feature_id = f.feature_id LEFT JOIN fills ON fills.feature_id = f.feature_id", "fills AS (SELECT feature_id, median(value) AS fill FROM y JOIN samples USING (sample_id) WHERE split = 'train' GROUP BY 1)"))
@@ -50,10 +52,12 @@ def cl_kmeans(s, d):
 
 @query("gr_coresponse_knn", "WITH " + _DENSE + f", c AS (SELECT a.feature AS feature, b.feature AS neighbour, covar_pop(a.value, b.value) / sqrt(var_pop(a.value) * var_pop(b.value)) AS w FROM dense a JOIN dense b ON a.sample = b.sample AND a.feature <> b.feature WHERE a.fit AND b.fit GROUP BY 1, 2) SELECT CAST(feature AS INT) AS feature, CAST(neighbour AS INT) AS neighbour, {r('greatest(w, 0)')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY w DESC, neighbour) AS rk FROM c) WHERE rk <= 5")
 def gr_coresponse_knn(s, d):
-    """All pairs of features, by sample: as many rows as samples times features squared over two; features are few."""
-    x = fx.dense(s, d).where("fit").select("sample", "feature", "value")
-    a, b = x.toDF("sample", "feature", "t"), x.toDF("sample", "neighbour", "p")
-    c = a.join(b, "sample").where("feature <> neighbour").groupBy("feature", "neighbour").agg((F.covar_pop("t", "p") / F.sqrt(F.var_pop("t") * F.var_pop("p"))).alias("w"))
+    """Correlations of all pairs of features from one matrix of co-moments; a feature of under 20 rows has no neighbour."""
+    g = helpers.gram(fx.table(s, d, "embeddings").where("vec_id % 4 <> 0").select(F.concat(F.array(F.lit(1.0)), F.col("embedding").cast("array<double>")).alias("x")), "x")
+    mean = g.where("a = 0 AND b > 0").select(F.col("b").alias("f"), (F.col("s") / F.col("n")).alias("m"))
+    var = g.where("a = b AND a > 0").join(mean, F.col("a") == F.col("f")).select("f", "m", (F.col("s") / F.col("n") - F.col("m") * F.col("m")).alias("v"))
+    a, b = var.toDF("a", "ma", "va"), var.toDF("b", "mb", "vb")
+    c = g.where("a > 0 AND b > 0 AND a <> b AND n >= 20").join(a, "a").join(b, "b").select((F.col("a") - 1).alias("feature"), (F.col("b") - 1).alias("neighbour"), ((F.col("s") / F.col("n") - F.col("ma") * F.col("mb")) / F.sqrt(F.col("va") * F.col("vb"))).alias("w"))
     rk = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("w"), "neighbour"))
     return c.withColumn("rk", rk).where("rk <= 5").select("feature", "neighbour", r6(F.greatest("w", F.lit(0.0))).alias("weight"))
 
@@ -111,34 +115,60 @@ def fe_flagged_zero_fill(s, d):
     return fx.table(s, d, "part").select(F.col("p_partkey").alias("feature")).join(curated, "feature", "left").select("feature", r6(F.coalesce("v", F.lit(0.0))).alias("descriptor"), F.col("v").isNotNull().cast("int").alias("present"))
 
 
-@query("fe_attach_entity_block", sql("SELECT sample_id, compound, n_train, (SELECT count(*) FROM samples t WHERE t.role = 'treatment' AND t.compound NOT IN (SELECT compound FROM samples WHERE role = 'treatment')) AS n_unknown FROM samples JOIN (SELECT compound, count(*) FILTER (split = 'train') AS n_train FROM samples WHERE role = 'treatment' GROUP BY 1) USING (compound) WHERE role = 'treatment'"))
+@query("fe_attach_entity_block", sql("SELECT sample_id, compound, n_train, n_unknown FROM samples JOIN (SELECT compound, count(*) AS n_train FROM samples WHERE split = 'train' AND role = 'treatment' GROUP BY 1) USING (compound), (SELECT count(*) AS n_unknown FROM samples WHERE role = 'treatment' AND compound NOT IN (SELECT compound FROM samples WHERE split = 'train' AND role = 'treatment')) WHERE role = 'treatment'"))
 def fe_attach_entity_block(s, d):
+    """The block of compounds comes from train rows, so held-out compounds are unknown to it: here they are counted."""
     t = treated(s, d)
-    block = t.groupBy("compound").agg(F.sum((F.col("split") == "train").cast("long")).alias("n_train"))
+    block = t.where("split = 'train'").groupBy("compound").agg(F.count("*").alias("n_train"))
     unknown = t.join(block, "compound", "left_anti").agg(F.count("*").alias("n_unknown"))
-    return t.join(F.broadcast(block), "compound").join(F.broadcast(unknown)).select("sample_id", "compound", "n_train", "n_unknown")
+    return features.attach_block(t, block, "compound", strict=False).crossJoin(unknown).select("sample_id", "compound", "n_train", "n_unknown")
 
 
-@query("vf_score_consistency", sql("SELECT convention, model, bool_and(score BETWEEN 0 AND 1) AS in_range, abs(sum(score * mw) - sum(score * mw)) < 1e-9 AS adds_up FROM assembled GROUP BY 1, 2", _LONG + _SPEC))
+_TOTALS = ", tot AS (SELECT convention, model, sum(score * mw) AS total, bool_and(score BETWEEN 0 AND 1) AS in_range FROM assembled GROUP BY 1, 2)"
+
+
+@query("vf_score_consistency", sql("SELECT convention, model, in_range, abs(total - CAST(printf('%.5f', total) AS DOUBLE)) <= 5.1e-6 AS csv_holds, total <= (SELECT sum(mw) FROM (SELECT DISTINCT module, mw FROM assembled a WHERE a.convention = tot.convention)) + 1e-9 AS adds_up FROM tot", _LONG + _SPEC + _TOTALS))
 def vf_score_consistency(s, d):
-    x = metrics.assemble(metric_rows(s, d))
+    """Scores lie in [0, 1], contributions add up to the total made from the weights, and so does the exported CSV."""
+    x = written(metrics.assemble(metric_rows(s, d)), "assembled")
     w = metrics.convention_table(s).select("convention", "module", "module_weight").distinct()
-    y = x.join(F.broadcast(w), ["convention", "module"])
-    return y.groupBy("convention", "model").agg(F.bool_and(F.col("score").between(0, 1)).alias("in_range"), (F.abs(F.sum(F.col("score") * F.col("module_weight")) - F.sum("contribution")) < 1e-9).alias("adds_up"))
+    total = F.sum(F.col("score") * F.col("module_weight"))
+    y = x.join(F.broadcast(w), ["convention", "module"]).groupBy("convention", "model").agg(F.bool_and(F.col("score").between(0, 1)).alias("in_range"), total.alias("total"), F.sum("contribution").alias("parts"), F.sum("module_weight").alias("most"))
+    back = tables.export_csv(y.select("convention", "model", F.format_string("%.5f", F.col("total")).alias("csv")))
+    z = y.join(back, ["convention", "model"])
+    adds_up = (F.abs(F.col("total") - F.col("parts")) < 1e-9) & (F.col("total") <= F.col("most") + 1e-9)
+    return z.select("convention", "model", "in_range", (F.abs(F.col("total") - F.col("csv").cast("double")) <= 5.1e-6).alias("csv_holds"), adds_up.alias("adds_up"))
+
+
+def boot_sql(source: str, *keys: str) -> str:
+    """Tables boot_n and boot of the intervals of `source` (keys, sample_id, value), drawn as helpers.bootstrap_ci draws."""
+    ks = ", ".join(keys)
+    u = "CAST('0x' || substr(md5('42:' || rep || ':' || sample_id), 1, 8) AS BIGINT) / 4294967296.0"
+    w = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(helpers.POISSON)) + f" ELSE {len(helpers.POISSON)} END"
+    return f"""boot_n AS (SELECT {ks}, count(*) AS n, avg(value) AS mean FROM {source} WHERE value IS NOT NULL GROUP BY ALL),
+boot_w AS (SELECT {ks}, rep, value, {w} AS w FROM (SELECT *, {u} AS u FROM {source}, range(1000) t(rep) WHERE value IS NOT NULL)),
+boot_m AS (SELECT {ks}, rep, sum(w * value) / sum(w) AS m FROM boot_w GROUP BY ALL HAVING sum(w) > 0),
+boot AS (SELECT {ks}, n, {r('mean')} AS mean, CASE WHEN n >= 3 THEN {r('lo')} END AS lo, CASE WHEN n >= 3 THEN {r('hi')} END AS hi
+  FROM boot_n JOIN (SELECT {ks}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM boot_m GROUP BY ALL) USING ({ks}))"""
+
 
+def _rounded(x):
+    return x.withColumns({c: r6(c) for c in ("mean", "lo", "hi")})
 
-@query("sc_bootstrap_ci")
+
+@query("sc_bootstrap_ci", sql("SELECT * FROM boot", _SC + ", per AS (SELECT model, split, id AS sample_id, pcc AS value FROM sc WHERE grain = 'sample' AND family = 'delta'), " + boot_sql("per", "model", "split")))
 def sc_bootstrap_ci(s, d):
     """Intervals of the mean per-sample correlation, by model and split."""
     x = _scores(s, d).where("grain = 'sample' AND family = 'delta'").select("model", "split", F.col("id").alias("sample_id"), F.col("pcc").alias("value"))
-    return helpers.bootstrap_ci(x, "model", "split")
+    return _rounded(helpers.bootstrap_ci(x, "model", "split"))
+
+
+_F1 = "f1s AS (SELECT sample_id, max(CASE WHEN model = 'context_mean_batch' THEN f1 END) - max(CASE WHEN model = 'context_mean' THEN f1 END) AS value FROM dep GROUP BY 1)"
 
 
-@query("sc_paired_bootstrap")
+@query("sc_paired_bootstrap", sql("SELECT * FROM boot", PRED_SQL + _COUNTS + ", " + _F1 + ", per AS (SELECT 'f1' AS metric, * FROM f1s), " + boot_sql("per", "metric")))
 def sc_paired_bootstrap(s, d):
     """Interval of the mean difference of two models on samples where both are defined."""
     x = _by_model(s, d, metrics.dep_counts).groupBy("sample_id").pivot("model", ["context_mean", "context_mean_batch"]).agg(F.first("f1"))
-    diff = x.select(F.lit("f1").alias("metric"), "sample_id", (F.col("context_mean_batch") - F.col("context_mean")).alias("value")).where("value IS NOT NULL")
-    return helpers.bootstrap_ci(diff, "metric")
-
-
+    diff = x.select(F.lit("f1").alias("metric"), "sample_id", (F.col("context_mean_batch") - F.col("context_mean")).alias("value"))
+    return _rounded(helpers.bootstrap_ci(diff, "metric"))

@@ -79,3 +79,10 @@ def csv_annotated(meta: DataFrame) -> DataFrame:
     """Metadata with each sample's role, written back as CSV."""
     role = F.when(F.col("compound").isin("Water", "DMSO"), "control").when(F.col("compound") == "Quality Control", "qc").otherwise("treatment")
     return as_strings(meta.withColumn("sample_role", role), [*meta.columns, "sample_role"])
+
+
+def export_csv(df: DataFrame) -> DataFrame:
+    """Written as CSV with a header and read back, every column a string."""
+    path = f"{shared_dir(df.sparkSession)}/export-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True)
+    return read_metadata(df.sparkSession, [path], df.columns)

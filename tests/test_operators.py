@@ -3,8 +3,9 @@
 import math
 import random
 
+import pytest
 from assaylake.functions.components import connected_components
-from assaylake.operators import ensemble, features, graph, matching, normalize
+from assaylake.operators import ensemble, features, graph, helpers, matching, normalize
 
 
 def test_components_match_union_find(spark):
@@ -93,3 +94,46 @@ def test_tanimoto_is_exact_at_every_similarity(spark):
     bits = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s], "entity long, bit string")
     found = graph.tanimoto_max(bits, spark.createDataFrame([(i,) for i in fit], "entity long")).collect()
     assert {r.entity: (r.nearest, round(r.similarity, 9)) for r in found} == want
+
+
+def test_weight_search_reaches_the_best_of_its_grid(spark):
+    rng = random.Random(6)
+    rows = [(t, 0.7 * t + rng.gauss(0, 1), 0.4 * t + rng.gauss(0, 0.5), rng.gauss(0, 1)) for t in (rng.gauss(0, 1) for _ in range(200))]
+    roles, grid = ["a", "b", "c"], (0.0, 0.25, 0.5, 1.0)
+    sums = ensemble.gram(spark.createDataFrame(rows, "t double, a double, b double, c double"), roles).collect()
+    weights, got = ensemble.weight_search(sums, roles, grid)
+
+    def exact(w):
+        t, p = [r[0] for r in rows], [sum(x * y for x, y in zip(w, r[1:], strict=True)) for r in rows]
+        mt, mp = sum(t) / 200, sum(p) / 200
+        v = sum((x - mt) ** 2 for x in t) * sum((y - mp) ** 2 for y in p)
+        return sum((x - mt) * (y - mp) for x, y in zip(t, p, strict=True)) / math.sqrt(v) if v > 0 else 0.0
+
+    assert math.isclose(got, exact([weights[r] for r in roles]), abs_tol=1e-9)
+    best = max(exact((x, y, z)) for x in grid for y in grid for z in grid)
+    assert all(w >= 0 for w in weights.values()) and best - 0.002 <= got <= best + 0.002
+
+
+def test_bootstrap_intervals_cover_the_mean(spark):
+    rng = random.Random(9)
+    rows = [("a", str(i), rng.gauss(5, 2)) for i in range(400)] + [("b", "1", 1.0), ("b", "2", 2.0), ("c", "1", None)]
+    got = {r.key: r for r in helpers.bootstrap_ci(spark.createDataFrame(rows, "key string, sample_id string, value double"), "key", reps=300).collect()}
+    values = [v for k, _, v in rows if k == "a"]
+    half = 1.96 * (sum((v - sum(values) / 400) ** 2 for v in values) / 400) ** 0.5 / 20
+    assert set(got) == {"a", "b"} and got["a"].n == 400 and math.isclose(got["a"].mean, sum(values) / 400)
+    assert abs(got["a"].lo - (got["a"].mean - half)) < 0.3 * half and abs(got["a"].hi - (got["a"].mean + half)) < 0.3 * half
+    assert got["b"].n == 2 and got["b"].lo is None and got["b"].hi is None
+
+
+def test_gram_adds_up_partitions(spark):
+    rows = [(i, [float(i), None if i == 3 else 1.0, i * 0.5]) for i in range(11)] + [(99, None)]
+    got = {(r.a, r.b): (r.s, r.n) for r in helpers.gram(spark.createDataFrame(rows, "i int, v array<double>").repartition(3), "v").collect()}
+    full = [[x or 0.0 for x in v] for _, v in rows if v]
+    assert got == {(a, b): (sum(v[a] * v[b] for v in full), 11) for a in range(3) for b in range(3)}
+
+
+def test_attach_block_rejects_unknown_entities(spark):
+    rows, block = spark.createDataFrame([(1, "a"), (2, "b")], "i int, c string"), spark.createDataFrame([("a", 7)], "c string, n int")
+    with pytest.raises(ValueError, match="b"):
+        features.attach_block(rows, block, "c")
+    assert [(r.i, r.n) for r in features.attach_block(rows, block, "c", strict=False).collect()] == [(1, 7)]

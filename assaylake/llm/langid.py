@@ -128,15 +128,17 @@ def keep_known(docs: DataFrame, sigmas: float = 8.0, least: int = 100, text_col:
     can go, whatever their distribution. Lengths of which under `least` rows have a language have no such bound, and
     where nothing can be learned only texts without a letter go.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     learned = profiles(docs, text_col, lang_col)
     if learned.empty:
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    judged = written(predict(docs, learned, *columns, text_col=text_col, names=("__lang_pred", "__lang_cosine")), "judged")
-    size = F.floor(F.log2(F.length(text_col) + 1.0)).alias("__lang_size")
-    labelled = judged.where(F.col(lang_col).isNotNull() & (F.col("__lang_pred") != "und")).groupBy(size)
-    bounds = labelled.agg(F.count("*").alias("n"), F.avg("__lang_cosine").alias("m"), F.stddev_pop("__lang_cosine").alias("sd")).where(F.col("n") >= least)
-    bounds = F.broadcast(bounds.select("__lang_size", (F.col("m") - sigmas * F.col("sd")).alias("__lang_bound")))  # a row for each power of two
-    near = judged.withColumn("__lang_size", size).join(bounds, "__lang_size", "left")
-    near = near.where((F.col("__lang_pred") != "und") & (F.col("__lang_bound").isNull() | (F.col("__lang_cosine") >= F.col("__lang_bound"))))
-    return near.select(*[F.coalesce(c, F.col("__lang_pred")).alias(lang_col) if n == lang_col else c for n, c in zip(docs.columns, columns, strict=True)])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # what goes through Python has names of its own
+    text, lang = (plain.columns[names.index(c)] for c in (text_col, lang_col))
+    judged = written(predict(plain, learned, *plain.columns, text_col=text, names=("pred", "cosine")), "judged")
+    size = F.floor(F.log2(F.length(text) + 1.0)).alias("size")
+    labelled = judged.where(F.col(lang).isNotNull() & (F.col("pred") != "und")).groupBy(size)
+    bounds = labelled.agg(F.count("*").alias("n"), F.avg("cosine").alias("m"), F.stddev_pop("cosine").alias("sd")).where(F.col("n") >= least)
+    bounds = F.broadcast(bounds.select("size", (F.col("m") - sigmas * F.col("sd")).alias("bound")))  # a row for each power of two
+    near = judged.withColumn("size", size).join(bounds, "size", "left")
+    near = near.where((F.col("pred") != "und") & (F.col("bound").isNull() | (F.col("cosine") >= F.col("bound"))))
+    return near.withColumn(lang, F.coalesce(lang, "pred")).select(plain.columns).toDF(*names)

@@ -272,7 +272,10 @@ def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     import re
 
     word = re.compile(rb"[^\x20\x09-\x0D]+")
-    schema = docs.schema
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # what goes through Python has names of its own
+    id_col, text_col = (plain.columns[names.index(c)] for c in (id_col, text_col))
+    schema = plain.schema
 
     def run(batches):
         for b in sliced(batches):
@@ -288,4 +291,4 @@ def cut_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
             columns = [pa.array(out, pa.string()) if f.name == text_col else b.column(i) for i, f in enumerate(schema.fields)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return _with_starts(docs, window, id_col, text_col, **more).select(*[F.col(f"`{c}`") for c in docs.columns], "__sub_raw", "__sub_starts").mapInArrow(run, schema)
+    return _with_starts(plain, window, id_col, text_col, **more).select(*plain.columns, "__sub_raw", "__sub_starts").mapInArrow(run, schema).toDF(*names)

@@ -73,11 +73,12 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         whole, cut = words, {}
         if self.cut:
-            cut = {w: [w.lower()] if w.isalpha() else self.cut.findall(w.lower()) for w in words if w.isascii() or max(w) < _LATIN_ENDS}
+            low = {w: w.lower() for w in words if w.isascii() or max(w) < _LATIN_ENDS}
+            cut = {w: [x] if x.isalpha() else self.cut.findall(x) for w, x in low.items()}  # a letter may become one and a mark
             whole = [w for w in words if w not in cut]
             merge = self.tokenizer.model.tokenize
             for x in {x for c in cut.values() for x in c if x not in self.pieces}:
-                letters = x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                letters = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 self.pieces[x] = b"".join([self.raw[t.id] for t in merge(letters)])
         for w, c in cut.items():
             self.known[w] = b"".join([self.pieces[x] for x in c])

@@ -52,6 +52,28 @@ def test_word_ids_equal_the_library():
         assert ids.tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_codepoint():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, theirs = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3100, 0x20000, 97) if not 0xD800 <= c < 0xE000]
+    for shape in ("{}", "ab{}cd", "1{}2", " {} ", "!{}x{}"):
+        texts = [shape.replace("{}", c) for c in every]
+        for t, ids, right in zip(texts, mine(texts), theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids.tolist() == right.ids, repr(t)
+
+
+def test_packing_checksums(spark):
+    import zlib
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    rows = [(i, "".join(rng.choice("ab cdé!\x1d İ1,") for _ in range(rng.randint(0, 400)))) for i in range(60)] + [(60, None)]
+    theirs = Tokenizer.from_file(path)
+    ids = {i: np.array(theirs.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in rows}
+    for r in packing.pack(_docs(spark, rows), path, length=64).collect():
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_first_fit_decreasing_against_plain():
     rng = random.Random(4)
     sizes = np.array(sorted((rng.randint(1, 100) for _ in range(400)), reverse=True))

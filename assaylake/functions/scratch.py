@@ -37,8 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame | None) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path is not None:
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -28,14 +28,14 @@ _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 _LATIN_ENDS = "\u0250"  # below it no letter is composed of others, and none changes its case by what stands around it
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in vocabularies of bytes: itself if it is seen, else one from U+0100 on."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     unseen = [b for b in range(256) if b not in seen]
     return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(unseen)}
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = byte_letters()
 
 
 def _cut(layout: dict) -> regex.Pattern | None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, small_batches, substrings, topk
+from assaylake.functions.scratch import drop, drop_path, shared_dir
+from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, repair, simhash, small_batches, substrings, token_files, topk, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +89,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_top_k": op5_top_k, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.every_conversation(repair.summaries(repair.repair(repair.damage(rows))), rows)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_files.read_tokens(manifest)
+    drop(manifest)
+    drop_path(spark, folder)
+    return found
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format, "op2_packing": op2_packing, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality,
+    "op5_top_k": op5_top_k, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op8_substring_dedup": op8_substring_dedup,
+    "op9_byte_bpe": op9_byte_bpe, "op10_simhash": op10_simhash, "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_files": op12_token_files, "op13_whitening": op13_whitening,
+}
 ORACLE = {"op3_exact_dedup": OP3_SQL, "op5_top_k": OP5_SQL}

@@ -50,7 +50,7 @@ def build(ids: np.ndarray, index: dict[str, np.ndarray], before: int = 0) -> byt
     for level in reversed(range(levels)):
         bit = (seq >> level) & 1 == 1
         packed = np.packbits(bit, bitorder="little").tobytes()
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ones = np.array([np.count_nonzero(bit[i : i + BLOCK]) for i in range(0, len(bit), BLOCK)], np.int64)
         offsets = []
         for i in range(0, len(packed), BLOCK // 8):
             raw = packed[i : i + BLOCK // 8]
@@ -60,9 +60,9 @@ def build(ids: np.ndarray, index: dict[str, np.ndarray], before: int = 0) -> byt
             body.append(part)
             at += len(part)
         directory += [np.array([*offsets, at], "<u8"), np.concatenate([[0], np.cumsum(ones)]).astype("<u8")]
-        low = seq[~bit]
+        low = np.compress(~bit, seq)  # several times faster than a mask as index
         zeros.append(len(low))
-        seq = np.concatenate([low, seq[bit]])
+        seq = np.concatenate([low, np.compress(bit, seq)])
     names = sorted(index)
     tables = [np.array(zeros, "<u8"), *directory, *(index[n].astype("<i8") for n in names)]
     packed_index = squeeze.compress(",".join(names).encode() + b"\n" + b"".join(t.tobytes() for t in tables))
@@ -182,8 +182,8 @@ class Shard:
             bit = np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little")[: self.n].view(bool)
             up = np.empty_like(seq)
             cut = int(self.zeros[level])
-            up[~bit] = seq[:cut]
-            up[bit] = seq[cut:] | squeeze(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = seq[:cut]
+            up[np.flatnonzero(bit)] = seq[cut:] | squeeze(1 << (self.levels - 1 - level))
             seq = up
         return seq.astype("<u4")
 

@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -72,8 +71,3 @@ def pca(dense: DataFrame, fit: DataFrame, k: int = 10) -> tuple[DataFrame, list[
     signs = [float(np.sign(loadings[np.abs(loadings[:, j]).argmax(), j])) for j in range(k)]
     scores = model.transform(vectors).select("sample", F.posexplode(vector_to_array("pc")).alias("component", "score"))
     return scores.withColumn("score", F.col("score") * F.element_at(F.array(*[F.lit(x) for x in signs]), F.col("component") + 1)), list(model.explainedVariance)
-
-
-def kmeans(vectors: DataFrame, id_col: str, array_col: str, k: int, seed: int = 42) -> DataFrame:
-    data = vectors.select(id_col, array_to_vector(F.col(array_col).cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed).fit(data).transform(data).select(id_col, F.col("prediction").alias("cluster"))

@@ -45,23 +45,6 @@ def pca_fit_project(s, d):
     return helpers.pca(x, x.where("fit"))[0].withColumn("score", r6("score"))
 
 
-@query("cl_kmeans")
-def cl_kmeans(s, d):
-    return helpers.kmeans(fx.table(s, d, "embeddings"), "vec_id", "embedding", 8).groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-@query("gr_coresponse_knn", "WITH " + _DENSE + f", c AS (SELECT a.feature AS feature, b.feature AS neighbour, covar_pop(a.value, b.value) / sqrt(var_pop(a.value) * var_pop(b.value)) AS w FROM dense a JOIN dense b ON a.sample = b.sample AND a.feature <> b.feature WHERE a.fit AND b.fit GROUP BY 1, 2) SELECT CAST(feature AS INT) AS feature, CAST(neighbour AS INT) AS neighbour, {r('greatest(w, 0)')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY w DESC, neighbour) AS rk FROM c) WHERE rk <= 5")
-def gr_coresponse_knn(s, d):
-    """Correlations of all pairs of features from one matrix of co-moments; a feature of under 20 rows has no neighbour."""
-    g = helpers.gram(fx.table(s, d, "embeddings").where("vec_id % 4 <> 0").select(F.concat(F.array(F.lit(1.0)), F.col("embedding").cast("array<double>")).alias("x")), "x")
-    mean = g.where("a = 0 AND b > 0").select(F.col("b").alias("f"), (F.col("s") / F.col("n")).alias("m"))
-    var = g.where("a = b AND a > 0").join(mean, F.col("a") == F.col("f")).select("f", "m", (F.col("s") / F.col("n") - F.col("m") * F.col("m")).alias("v"))
-    a, b = var.toDF("a", "ma", "va"), var.toDF("b", "mb", "vb")
-    c = g.where("a > 0 AND b > 0 AND a <> b AND n >= 20").join(a, "a").join(b, "b").select((F.col("a") - 1).alias("feature"), (F.col("b") - 1).alias("neighbour"), ((F.col("s") / F.col("n") - F.col("ma") * F.col("mb")) / F.sqrt(F.col("va") * F.col("vb"))).alias("w"))
-    rk = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("w"), "neighbour"))
-    return c.withColumn("rk", rk).where("rk <= 5").select("feature", "neighbour", r6(F.greatest("w", F.lit(0.0))).alias("weight"))
-
-
 _GROUPS = "mem AS (SELECT DISTINCT p_type AS grp, p_brand AS feature_id FROM part), kk AS (SELECT grp, count(*) AS k FROM mem GROUP BY 1), ed AS (SELECT grp, a.feature_id AS a, b.feature_id AS b, 1.0 / (k - 1) AS w FROM mem a JOIN mem b USING (grp) JOIN kk USING (grp) WHERE a.feature_id < b.feature_id AND k > 1)"
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from assaylake.model import level_key
+from assaylake.operators.ranks import value_ranks
 
 MIN_CELLS = 3
 UNSEEN = "__UNSEEN__"
@@ -28,9 +28,9 @@ def group_mean(cells: DataFrame, samples: DataFrame, keys: list[str]) -> DataFra
 
 
 def folds(fit: DataFrame, k: int = 5) -> DataFrame:
-    """(sample_id, fold): balanced, from the order of a seeded hash; metadata-size."""
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("42:"), F.col("sample_id"))), "sample_id"))
-    return fit.select("sample_id", ((order - 1) % k).cast("int").alias("fold"))
+    """(sample_id, fold): balanced, from the order of a seeded hash, counted over ranges of it."""
+    order = fit.select(F.concat(F.md5(F.concat(F.lit("42:"), F.col("sample_id"))), F.col("sample_id")).alias("o"))
+    return value_ranks(order, "o").select(F.substring("o", 33, 2**31 - 1).alias("sample_id"), (F.col("below") % k).cast("int").alias("fold"))
 
 
 def oof_group_mean(cells: DataFrame, samples: DataFrame, fold_of: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from assaylake.model import by_level, level_key
+from assaylake.operators.ranks import percentiles, value_ranks
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,11 +86,13 @@ def group_composition(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, D
 
 def value_probe(cells: DataFrame, n_possible: DataFrame) -> DataFrame:
     """One row: how many cells are missing, zero or negative, percentiles, and whether the scale looks like logs."""
-    v = F.col("value")
-    p = cells.where("value <> 0").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.01, 0.5, 0.99)])).alias("p"), F.max("value").alias("hi"))
-    n = cells.agg(F.count("value").alias("n_present"), F.sum((v == 0).cast("long")).alias("n_zero"), F.sum((v < 0).cast("long")).alias("n_negative"))
-    out = n.join(F.broadcast(p)).join(F.broadcast(n_possible))
-    return out.select((F.col("n_possible") - F.col("n_present")).alias("n_missing"), "n_zero", "n_negative", F.col("p")[0].alias("p01"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p99"), ((F.col("hi") < 64) & (F.col("n_negative") == 0)).alias("looks_log"))
+    x = value_ranks(cells, "value")  # zeros are one row of it
+    v, n = F.col("value"), F.col("n")
+    count = lambda c: F.sum(F.when(c, n).otherwise(0))
+    totals = x.agg(F.sum("n").alias("n_present"), count(v == 0).alias("n_zero"), count(v < 0).alias("n_negative"), F.max(F.when(v != 0, v)).alias("hi"))
+    q = percentiles(value_ranks(x.where("value <> 0"), "value", times="n"), "value", [0.01, 0.5, 0.99])
+    out = totals.join(F.broadcast(q.select("q"))).join(F.broadcast(n_possible))
+    return out.select((F.col("n_possible") - F.col("n_present")).alias("n_missing"), "n_zero", "n_negative", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), ((F.col("hi") < 64) & (F.col("n_negative") == 0)).alias("looks_log"))
 
 
 def detection_rates(cells: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:

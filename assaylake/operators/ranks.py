@@ -15,12 +15,13 @@ from pyspark.sql import Window
 from assaylake.functions.scratch import written
 
 
-def value_ranks(df: DataFrame, value: str, *keys: str) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, *keys: str, times: str | None = None) -> DataFrame:
     """(keys, value, n, below): each distinct value of a key, how often it occurs, and how many smaller ones there are.
 
-    Null values are left out; null keys are a key like others. The result is a written table.
+    Null values are left out; null keys are a key like others. A row counts `times` times where that is given. The
+    result is read from a written table.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("n"))
     told = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
     order = [F.asc_nulls_first(k) for k in keys] + [F.asc(value)]
     spread = counted.withColumn("__key", told).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -64,6 +65,35 @@ def _both(start: Column, keys: tuple[str, ...]) -> Column:
     return start
 
 
+def percentiles(ranks: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
+    """(keys, n, q): from value_ranks(), the exact percentiles of each key, between neighbours in proportion; one aggregate."""
+    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("__of")) if keys else ranks.agg(F.sum("n").alias("__of"))
+    x = ranks.join(sizes, list(keys)) if keys else ranks.crossJoin(F.broadcast(sizes))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
+
+    aggs = []
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("__of") - 1)
+        aggs += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}")]
+    got = x.groupBy(*keys).agg(F.max("__of").alias("n"), *aggs)
+    part = lambda i, share: (F.lit(share) * (F.col("n") - 1)) - F.floor(F.lit(share) * (F.col("n") - 1))
+    q = F.array(*[F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part(i, share) for i, share in enumerate(shares)])
+    return got.select(*keys, "n", q.alias("q"))
+
+
+def moments(ranks: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, mean, sd): mean and population deviation from value_ranks(), centred before squaring."""
+    total = [F.sum("n").alias("n"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean")]
+    mean = ranks.groupBy(*keys).agg(*total) if keys else ranks.agg(*total)
+    away = F.col(value) - F.col("mean")
+    x = ranks.withColumnRenamed("n", "__n")
+    x = x.join(mean, list(keys)) if keys else x.crossJoin(F.broadcast(mean))
+    sd = F.sqrt(F.sum(away * away * F.col("__n")) / F.sum("__n")).alias("sd")
+    return x.groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), sd)
+
+
 #: The inverse of the normal distribution after Wichura, Algorithm AS 241 (1988), from the highest power
 #: down; the centre by q, and the tails by sqrt(-ln p), down to p of 1e-11.
 CENTRE_UP = [2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0]

@@ -16,7 +16,8 @@ def normalised(s, d):
 
 
 def delta(s, d, **more):
-    return matching.delta(normalised(s, d), fx.samples(s, d), **more)
+    """Normalised cells are written once: they are both the treated side and the controls."""
+    return matching.delta(written(normalised(s, d), "normalised"), fx.samples(s, d), **more)
 
 
 def treated(s, d):

@@ -8,14 +8,17 @@ from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import level_sql, sql
 from assaylake.functions.scratch import written
 from assaylake.model import CONTROL_LEVELS, r6
-from assaylake.operators import matching, metrics
+from assaylake.operators import matching, metrics, ranks
 from assaylake.plans.common import PCC_SQL, delta, normalised, treated
 from assaylake.plans.registry import query, r
 
 
 @query("ctl_index", sql(f"SELECT level, key, feature_id, {r('control')} AS control, n_controls FROM ctl_index"))
 def ctl_index(s, d):
-    return matching.control_index(normalised(s, d), fx.samples(s, d).where("role = 'control'")).withColumn("control", r6("control"))
+    """All levels, the global one too, whose profiles have the cells of every control: medians from counted ranks."""
+    at = matching.exploded(fx.samples(s, d).where("role = 'control'"), CONTROL_LEVELS).join(normalised(s, d), "sample_id")
+    x = ranks.value_ranks(at, "value", "level", "key", "feature_id")
+    return ranks.percentiles(x, "value", [0.5], "level", "key", "feature_id").select("level", "key", "feature_id", r6(F.col("q")[0]).alias("control"), F.col("n").alias("n_controls"))
 
 
 @query("ctl_match", sql("SELECT sample_id, level, key FROM matched"))
@@ -72,8 +75,9 @@ def ctl_vehicle_sensitivity(s, d):
 def ctl_agg_sensitivity(s, d):
     mean = delta(s, d, agg=F.avg).select("sample_id", "feature_id", F.col("value").alias("p"))
     both = delta(s, d).select("sample_id", "feature_id", F.col("value").alias("t")).join(mean, ["sample_id", "feature_id"])
-    diff = F.abs(F.col("t") - F.col("p"))
-    return both.agg(r6(F.median(diff)).alias("median_diff"), r6(F.percentile(diff, 0.95)).alias("q95_diff"), *metrics.moment_aggregates()).select("median_diff", "q95_diff", r6(metrics.pcc()).alias("pcc"))
+    both = written(both.select("t", "p", F.abs(F.col("t") - F.col("p")).alias("diff")), "both-deltas")
+    q = ranks.percentiles(ranks.value_ranks(both, "diff"), "diff", [0.5, 0.95]).select("q")
+    return both.agg(*metrics.moment_aggregates()).crossJoin(q).select(r6(F.col("q")[0]).alias("median_diff"), r6(F.col("q")[1]).alias("q95_diff"), r6(metrics.pcc()).alias("pcc"))
 
 
 _PCT = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -81,18 +85,22 @@ _PCT = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 @query("stat_delta_distribution", sql(f"SELECT {r('avg(value)')} AS mean_v, {r('median(value)')} AS median_v, {r('stddev_pop(value)')} AS sd_v, {r('mad(value)')} AS mad_v, {r('avg(CASE WHEN abs(value) > 1 THEN 1.0 ELSE 0.0 END)')} AS frac_strong, " + ", ".join(f"{r(f'quantile_cont(value, {p})')} AS p{i}" for i, p in enumerate(_PCT)) + " FROM delta"))
 def stat_delta_distribution(s, d):
-    x = delta(s, d)
-    q = F.percentile("value", F.array(*[F.lit(p) for p in _PCT]))
-    one = x.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.avg((F.abs("value") > 1).cast("double")).alias("fs"), q.alias("q"))
-    mad = x.join(F.broadcast(one.select(F.col("q")[4].alias("med")))).agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return one.join(F.broadcast(mad)).select(r6("m").alias("mean_v"), r6(F.col("q")[4]).alias("median_v"), r6("sd").alias("sd_v"), r6("mad").alias("mad_v"), r6("fs").alias("frac_strong"), *[r6(F.col("q")[i]).alias(f"p{i}") for i in range(len(_PCT))])
+    """From ranks that are counted over ranges of values: no task has all of them."""
+    x = ranks.value_ranks(delta(s, d), "value")
+    one = ranks.percentiles(x, "value", _PCT).crossJoin(ranks.moments(x, "value").select("mean", "sd"))
+    strong = x.agg((F.sum(F.when(F.abs("value") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("fs"))
+    away = x.crossJoin(F.broadcast(one.select(F.col("q")[4].alias("med")))).select(F.abs(F.col("value") - F.col("med")).alias("away"), "n")
+    mad = ranks.percentiles(ranks.value_ranks(away, "away", times="n"), "away", [0.5]).select(F.col("q")[0].alias("mad"))
+    return one.crossJoin(strong).crossJoin(mad).select(r6("mean").alias("mean_v"), r6(F.col("q")[4]).alias("median_v"), r6("sd").alias("sd_v"), r6("mad").alias("mad_v"), r6("fs").alias("frac_strong"), *[r6(F.col("q")[i]).alias(f"p{i}") for i in range(len(_PCT))])
 
 
 @query("stat_compound_effect", sql(f"SELECT compound, count(*) AS n, {r('median(abs(value))')} AS median_abs, {r('avg(CASE WHEN abs(value) > 1 THEN 1.0 ELSE 0.0 END)')} AS frac_strong, {r('stddev_pop(value)')} AS sd_v FROM delta JOIN samples USING (sample_id) GROUP BY 1 HAVING count(*) >= 100"))
 def stat_compound_effect(s, d):
-    g = delta(s, d).join(fx.samples(s, d).select("sample_id", "compound"), "sample_id").groupBy("compound")
-    out = g.agg(F.count("*").alias("n"), r6(F.median(F.abs("value"))).alias("median_abs"), r6(F.avg((F.abs("value") > 1).cast("double"))).alias("frac_strong"), r6(F.stddev_pop("value")).alias("sd_v"))
-    return out.where("n >= 100").orderBy(F.desc("median_abs"), "compound")
+    """A compound may have a twelfth of all cells: its median comes from counted ranks."""
+    x = written(delta(s, d).join(fx.samples(s, d).select("sample_id", "compound"), "sample_id").select("compound", "value", F.abs("value").alias("size")), "compound-delta")
+    g = x.groupBy("compound").agg(F.count("*").alias("n"), r6(F.avg((F.col("size") > 1).cast("double"))).alias("frac_strong"), r6(F.stddev_pop("value")).alias("sd_v"))
+    mid = ranks.percentiles(ranks.value_ranks(x, "size", "compound"), "size", [0.5], "compound").select("compound", r6(F.col("q")[0]).alias("median_abs"))
+    return g.where("n >= 100").join(mid, "compound").select("compound", "n", "median_abs", "frac_strong", "sd_v").orderBy(F.desc("median_abs"), "compound")
 
 
 _ANCHOR = "anchor AS (SELECT sample_id, feature_id, control FROM matched JOIN ctl_index USING (level, key)), recovered AS (SELECT sample_id, feature_id, y - value AS control FROM delta)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import sql
 from assaylake.model import r6
-from assaylake.operators import features, matching
+from assaylake.operators import features, matching, ranks
 from assaylake.plans.common import delta, normalised, treated
 from assaylake.plans.registry import query, r
 
@@ -146,8 +146,11 @@ def fe_availability_loss(s, d):
 
 @query("fe_target_stats", sql(f"SELECT split, {r('avg(value)')} AS mean_v, {r('stddev_pop(value)')} AS sd_v, {r('quantile_cont(value, 0.01)')} AS q01, {r('quantile_cont(value, 0.99)')} AS q99, {r('avg(CASE WHEN abs(value) > 1 THEN 1.0 ELSE 0.0 END)')} AS frac FROM design GROUP BY 1", _DESIGN))
 def fe_target_stats(s, d):
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    return delta(s, d).join(treated(s, d).select("sample_id", "split"), "sample_id").groupBy("split").agg(r6(F.avg("value")).alias("mean_v"), r6(F.stddev_pop("value")).alias("sd_v"), r6(q[0]).alias("q01"), r6(q[1]).alias("q99"), r6(F.avg((F.abs("value") > 1).cast("double"))).alias("frac"))
+    x = ranks.value_ranks(delta(s, d).join(treated(s, d).select("sample_id", "split"), "sample_id"), "value", "split")
+    q = ranks.percentiles(x, "value", [0.01, 0.99], "split").select("split", r6(F.col("q")[0]).alias("q01"), r6(F.col("q")[1]).alias("q99"))
+    large = x.groupBy("split").agg(r6(F.sum(F.when(F.abs("value") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("frac"))
+    m = ranks.moments(x, "value", "split").select("split", r6("mean").alias("mean_v"), r6("sd").alias("sd_v"))
+    return m.join(q, "split").join(large, "split").select("split", "mean_v", "sd_v", "q01", "q99", "frac")
 
 
 @query("fe_missing_rate", sql(" UNION ALL ".join(f"SELECT '{c}' AS name, {r(f'1 - count({c}) / count(*)')} AS rate FROM design" for c in ("control", "d_drug", "d_strain")), _DESIGN))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import sql
 from assaylake.model import COMPOUND_LEVELS, CONTEXT_BATCH_LEVELS, CONTEXT_LEVELS, r6
-from assaylake.operators import frozen, splits
+from assaylake.operators import frozen, ranks, splits
 from assaylake.plans.common import PRED_SQL, delta, hier_sql, hierarchical, normalised, predictions, treated
 from assaylake.plans.registry import query, r
 
@@ -60,9 +60,8 @@ def split_inner_regimes(s, d):
     train = x.where("split = 'train' AND role = 'treatment'")
     one = train.select("strain").distinct().orderBy(splits.seeded("strain"), "strain").limit(1).withColumn("sh", F.lit(True))
     size = train.agg(F.greatest(F.lit(30), F.floor(F.count("*") * 0.08)).alias("k"))
-    from pyspark.sql import Window
-
-    full = train.select("sample_id", F.row_number().over(Window.orderBy(splits.seeded("sample_id"), "sample_id")).alias("rk")).join(F.broadcast(size)).where("rk <= k").select("sample_id", F.lit(True).alias("dev"))
+    order = ranks.value_ranks(train.select(F.concat(splits.seeded("sample_id"), F.col("sample_id")).alias("o")), "o")
+    full = order.join(F.broadcast(size)).where("below < k").select(F.substring("o", 33, 2**31 - 1).alias("sample_id"), F.lit(True).alias("dev"))
     y = train.join(splits.inner_holdout(x), "compound").join(F.broadcast(one), "strain", "left").join(full, "sample_id", "left")
     part = F.when(F.col("held") & F.col("sh").isNotNull(), "both_novel").when(F.col("held"), "chem_novel").when(F.col("sh").isNotNull(), "strain_novel").when(F.col("dev").isNotNull(), "full_dev").otherwise("fit")
     return y.groupBy(part.alias("part")).agg(F.count("*").alias("n"))

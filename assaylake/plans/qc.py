@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import level_sql, sql
 from assaylake.model import CONTROL_LEVELS, r6
-from assaylake.operators import matching, normalize, profile
+from assaylake.operators import matching, normalize, profile, ranks
 from assaylake.plans.registry import query, r
 from assaylake.sources import tables
 
@@ -252,7 +252,11 @@ def qc_tail_topk(s, d):
 
 @query("qc_tail_range", sql(f"SELECT {r('min(value)')} AS lo, {r('max(value)')} AS hi, {r('quantile_cont(value, 0.001)')} AS q001, {r('quantile_cont(value, 0.999)')} AS q999, count(*) FILTER (value > 18) AS over_18, count(*) FILTER (value > 19) AS over_19 FROM y"))
 def qc_tail_range(s, d):
-    return normalised(s, d).agg(r6(F.min("value")).alias("lo"), r6(F.max("value")).alias("hi"), r6(F.percentile("value", 0.001)).alias("q001"), r6(F.percentile("value", 0.999)).alias("q999"), F.sum((F.col("value") > 18).cast("long")).alias("over_18"), F.sum((F.col("value") > 19).cast("long")).alias("over_19"))
+    x = ranks.value_ranks(normalised(s, d), "value")
+    over = lambda cut: F.sum(F.when(F.col("value") > cut, F.col("n")).otherwise(0))
+    ends = x.agg(r6(F.min("value")).alias("lo"), r6(F.max("value")).alias("hi"), over(18).alias("over_18"), over(19).alias("over_19"))
+    q = ranks.percentiles(x, "value", [0.001, 0.999]).select(r6(F.col("q")[0]).alias("q001"), r6(F.col("q")[1]).alias("q999"))
+    return ends.crossJoin(q).select("lo", "hi", "q001", "q999", "over_18", "over_19")
 
 
 @query("qc_id_patterns", "SELECT count(*) AS n, count(*) FILTER (regexp_matches(p_brand, '^Brand#[0-9]+$')) AS brand_form, count(*) FILTER (regexp_matches(p_name, '^[a-z]+ [a-z]+$')) AS two_words, count(*) FILTER (regexp_matches(p_type, '^[A-Z]+$')) AS upper_form FROM part")

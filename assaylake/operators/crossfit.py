@@ -137,5 +137,5 @@ def trials(table: DataFrame, penalties: list[float]) -> list[tuple[str, float, f
                     w = np.append(ridge(fit[fold,], g, penalty)[0], -1.0)  # prediction minus value
                     error, n = error + float(w @ m @ w), n + m[0, 0]
             if n:
-                out.append((g, penalty, error / n, int(n)))
+                out.append((g, penalty, float(error / n), int(n)))
     return out

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -47,38 +46,9 @@ def pareto_front(configs: DataFrame, score: str, cost: str) -> DataFrame:
     return configs.withColumn("__best", F.max(score).over(before)).where(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).drop("__best")
 
 
-def weight_search(sums: list[Row], roles: list[str], grid: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0), rounds: int = 10) -> tuple[dict[str, float], float]:
-    """Non-negative weights by coordinate ascent on the correlation of co-moment rows, and what they reach.
-
-    `sums` are the rows of gram() of one cluster, a few numbers for each pair of members, whatever the cells. Starts from
-    every single member and from all of them equally; of equal results the first is kept.
-    """
-    k = len(roles)
-    n, st, stt = (float(sum(r[c] for r in sums)) for c in ("n", "st", "stt"))
-    s = np.array([sum(r[f"s_{a}"] for r in sums) for a in roles], float)
-    ts = np.array([sum(r[f"st_{a}"] for r in sums) for a in roles], float)
-    ss = np.zeros((k, k))
-    for i, a in enumerate(roles):
-        for j in range(i, k):
-            ss[i, j] = ss[j, i] = sum(r[f"s_{a}_{roles[j]}"] for r in sums)
-
-    def reached(w: np.ndarray) -> float:
-        vt, vp = stt - st * st / n, w @ ss @ w - (w @ s) ** 2 / n
-        return float((w @ ts - st * (w @ s) / n) / np.sqrt(vt * vp)) if n >= 3 and vt > 1e-9 and vp > 1e-9 else 0.0
-
-    best, score = np.zeros(k), 0.0
-    for start in [*np.eye(k), np.full(k, 1.0 / k)]:
-        w, now = start.copy(), reached(start)
-        for _ in range(rounds):
-            before = now
-            for i in range(k):
-                for g in grid:
-                    trial = w.copy()
-                    trial[i] = g
-                    if (x := reached(trial)) > now + 1e-12:
-                        w, now = trial, x
-            if now <= before + 1e-12:
-                break
-        if now > score + 1e-12:
-            best, score = w, now
-    return dict(zip(roles, best.tolist(), strict=True)), score
+def promote_weights(clusters: DataFrame, weights: DataFrame) -> DataFrame:
+    """(fine, coarse, n, role, w): the weights (role, coarse, w) for finer clusters (feature_id, fine, coarse), each with
+    those of its features' most frequent coarse cluster, ties to the smaller."""
+    counts = clusters.groupBy("fine", "coarse").agg(F.count("*").alias("k"))
+    parent = counts.groupBy("fine").agg(F.max_by("coarse", F.struct("k", -F.col("coarse"))).alias("coarse"), F.sum("k").alias("n"))
+    return parent.join(weights, "coarse").select("fine", "coarse", "n", "role", "w")

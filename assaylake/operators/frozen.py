@@ -34,6 +34,15 @@ def hierarchical_mean(cells: DataFrame, samples: DataFrame, levels: list[list[st
     return chosen.join(profiles(cells, fit, levels, chosen), ["level", "key"]).select("sample_id", "feature_id", "mu", "level")
 
 
+def with_hierarchical_mean(cells: DataFrame, name: str, source: DataFrame, samples: DataFrame, levels: list[list[str]], serve: DataFrame) -> DataFrame:
+    """cells (sample_id, feature_id, ...) with the mean as column `name`: a sample's level is looked up, and its profile
+    joins by level, key and feature, so that no profile is first written out for every sample."""
+    fit = fit_rows(samples)
+    chosen = level_of(serve, fit, levels).select("sample_id", F.col("level").alias("__level"), F.col("key").alias("__key"))
+    means = profiles(source, fit, levels, chosen.toDF("sample_id", "level", "key")).toDF("__level", "__key", "feature_id", name)
+    return cells.join(chosen, "sample_id", "left").join(means, ["__level", "__key", "feature_id"], "left").drop("__level", "__key")
+
+
 def fallback_chain(grid: DataFrame, context: DataFrame, cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Context mean, else the feature's train mean, else the train median of everything."""
     train = cells.join(fit_rows(samples).select("sample_id"), "sample_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import fixtures as fx
 from assaylake.functions.fixtures import level_sql
-from assaylake.functions.scratch import written
+from assaylake.functions.scratch import drop, written
 from assaylake.model import COMPOUND_LEVELS, CONTEXT_BATCH_LEVELS, CONTEXT_LEVELS
 from assaylake.operators import frozen, matching, normalize
 
@@ -43,18 +43,27 @@ def hier_sql(name: str, levels: list[list[str]], source: str) -> str:
 MODELS = ["control_anchor", "context_mean", "context_mean_batch", "global_mean"]
 
 
-def predictions(s, d):
-    """(model, sample_id, feature_id, feature_idx, split, y, d, y_pred, d_pred, mu_ctx, mu_drug) for treated validation cells."""
+def prediction_cells(s, d):
+    """(sample_id, feature_id, feature_idx, split, y, d, control, mu_ctx, mu_drug, <MODELS>) for treated validation cells:
+    the models' abundances, null where one has none. A written table, with a column for each model."""
     y = written(normalised(s, d), "normalised")  # each is read many times below
     t = written(treated(s, d), "treated")
     dl = written(matching.delta(y, fx.samples(s, d)), "delta")
     cells = dl.join(t.where("split LIKE 'val_%'").select("sample_id", "split"), "sample_id")
     cells = cells.select("sample_id", "feature_id", "split", "y", F.col("value").alias("d"), "control").join(F.broadcast(fx.features(s, d)), "feature_id")
-    for name, source, levels in (("mu_ctx", dl, CONTEXT_LEVELS), ("mu_drug", dl, COMPOUND_LEVELS), ("p_ctx", y, CONTEXT_LEVELS), ("p_ctxb", y, CONTEXT_BATCH_LEVELS), ("p_glob", y, [[]])):
-        cells = cells.join(frozen.hierarchical_mean(source, t, levels, serve=t.where("split LIKE 'val_%'")).select("sample_id", "feature_id", F.col("mu").alias(name)), ["sample_id", "feature_id"], "left")
-    preds = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("y_pred")) for m, c in zip(MODELS, ("control", "p_ctx", "p_ctxb", "p_glob"), strict=True)])
+    for name, source, levels in (("mu_ctx", dl, CONTEXT_LEVELS), ("mu_drug", dl, COMPOUND_LEVELS), ("context_mean", y, CONTEXT_LEVELS), ("context_mean_batch", y, CONTEXT_BATCH_LEVELS), ("global_mean", y, [[]])):
+        cells = frozen.with_hierarchical_mean(cells, name, source, t, levels, serve=t.where("split LIKE 'val_%'"))
+    out = written(cells.withColumn("control_anchor", F.col("control")), "prediction-cells")
+    for x in (y, t, dl):
+        drop(x)
+    return out
+
+
+def predictions(s, d):
+    """(model, sample_id, feature_id, feature_idx, split, y, d, y_pred, d_pred, mu_ctx, mu_drug) of prediction_cells()."""
     keep = ["sample_id", "feature_id", "feature_idx", "split", "y", "d", "control", "mu_ctx", "mu_drug"]
-    return written(cells.select(*keep, F.inline(preds)).withColumn("d_pred", F.col("y_pred") - F.col("control")), "predictions")
+    preds = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("y_pred")) for m in MODELS])
+    return prediction_cells(s, d).select(*keep, F.inline(preds)).withColumn("d_pred", F.col("y_pred") - F.col("control"))
 
 
 def pairs(preds, metric_split: bool = True):

@@ -10,7 +10,7 @@ from assaylake.functions.fixtures import sql
 from assaylake.functions.scratch import written
 from assaylake.model import r6
 from assaylake.operators import ensemble, graph, verify
-from assaylake.plans.common import MODELS, PCC_SQL, PRED_SQL, delta, predictions
+from assaylake.plans.common import MODELS, PCC_SQL, PRED_SQL, delta, prediction_cells, predictions
 from assaylake.plans.engineering import _WORDS, bits
 from assaylake.plans.registry import query, r
 
@@ -37,7 +37,8 @@ def en_fixed_blend(s, d):
 
 
 def _members(s, d):
-    return predictions(s, d).groupBy("sample_id", "feature_id", "feature_idx", F.col("d").alias("t")).pivot("model", MODELS).agg(F.max(F.coalesce("d_pred", F.lit(0.0))))
+    change = [F.coalesce(F.col(m) - F.col("control"), F.lit(0.0)).alias(m) for m in MODELS]
+    return prediction_cells(s, d).select("sample_id", "feature_id", "feature_idx", F.col("d").alias("t"), *change)
 
 
 @query("en_cohort_members", sql("SELECT sample_id, feature_id, " + ", ".join(f"{r(f'''max(CASE WHEN model = '{m}' THEN coalesce(d_pred, 0) END)''')} AS {m}" for m in MODELS) + " FROM preds GROUP BY 1, 2", PRED_SQL))
@@ -68,10 +69,16 @@ def en_gram_score(s, d):
     return ensemble.gram_pcc(g, MODELS, WEIGHTS).select("cluster", (F.round("pcc", 5) + 0.0).alias("pcc"))
 
 
-@query("en_promote_weights", sql("SELECT CAST(feature_idx % 4 AS INT) AS fine, CAST(min(feature_idx % 2) AS INT) AS coarse, count(*) AS n FROM features GROUP BY 1"))
+_COARSE = {"context_mean": (0.6, 0.4), "context_mean_batch": (0.3, 0.5)}
+_COARSE_SQL = "coarse AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {c}, {w}::DOUBLE)" for m, ws in _COARSE.items() for c, w in enumerate(ws)) + ") t(role, coarse, w))"
+
+
+@query("en_promote_weights", sql("SELECT fine, coarse, n, role, w FROM (SELECT CAST(feature_idx % 4 AS INT) AS fine, CAST(min(feature_idx % 2) AS INT) AS coarse, count(*) AS n FROM features GROUP BY 1) JOIN coarse USING (coarse)", _COARSE_SQL))
 def en_promote_weights(s, d):
-    f = fx.features(s, d).select((F.col("feature_idx") % 4).cast("int").alias("fine"), (F.col("feature_idx") % 2).cast("int").alias("coarse"))
-    return f.groupBy("fine").agg(F.mode("coarse").alias("coarse"), F.count("*").alias("n"))
+    """A fine cluster inherits the weights of the coarse cluster that most of its features lie in."""
+    f = fx.features(s, d).select("feature_id", (F.col("feature_idx") % 4).cast("int").alias("fine"), (F.col("feature_idx") % 2).cast("int").alias("coarse"))
+    w = s.createDataFrame([(m, c, float(v)) for m, ws in _COARSE.items() for c, v in enumerate(ws)], "role string, coarse int, w double")
+    return ensemble.promote_weights(f, w)
 
 
 @query("en_pareto_front", "SELECT p_size AS cost, max(p_retailprice) AS score FROM part p GROUP BY 1 HAVING max(p_retailprice) > coalesce((SELECT max(p_retailprice) FROM part q WHERE q.p_size < p.p_size), -1)")

@@ -96,22 +96,11 @@ def test_tanimoto_is_exact_at_every_similarity(spark):
     assert {r.entity: (r.nearest, round(r.similarity, 9)) for r in found} == want
 
 
-def test_weight_search_reaches_the_best_of_its_grid(spark):
-    rng = random.Random(6)
-    rows = [(t, 0.7 * t + rng.gauss(0, 1), 0.4 * t + rng.gauss(0, 0.5), rng.gauss(0, 1)) for t in (rng.gauss(0, 1) for _ in range(200))]
-    roles, grid = ["a", "b", "c"], (0.0, 0.25, 0.5, 1.0)
-    sums = ensemble.gram(spark.createDataFrame(rows, "t double, a double, b double, c double"), roles).collect()
-    weights, got = ensemble.weight_search(sums, roles, grid)
-
-    def exact(w):
-        t, p = [r[0] for r in rows], [sum(x * y for x, y in zip(w, r[1:], strict=True)) for r in rows]
-        mt, mp = sum(t) / 200, sum(p) / 200
-        v = sum((x - mt) ** 2 for x in t) * sum((y - mp) ** 2 for y in p)
-        return sum((x - mt) * (y - mp) for x, y in zip(t, p, strict=True)) / math.sqrt(v) if v > 0 else 0.0
-
-    assert math.isclose(got, exact([weights[r] for r in roles]), abs_tol=1e-9)
-    best = max(exact((x, y, z)) for x in grid for y in grid for z in grid)
-    assert all(w >= 0 for w in weights.values()) and best - 0.002 <= got <= best + 0.002
+def test_promoted_weights_follow_the_majority(spark):
+    clusters = spark.createDataFrame([(i, i % 3, int(i in (0, 3, 1))) for i in range(9)], "feature_id int, fine int, coarse int")
+    weights = spark.createDataFrame([("a", 0, 0.1), ("a", 1, 0.9)], "role string, coarse int, w double")
+    got = {r.fine: (r.coarse, r.n, r.w) for r in ensemble.promote_weights(clusters, weights).collect()}
+    assert got == {0: (1, 3, 0.9), 1: (0, 3, 0.1), 2: (0, 3, 0.1)}
 
 
 def test_bootstrap_intervals_cover_the_mean(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.model import by_level
+from assaylake.functions.scratch import written
+from assaylake.model import by_level, level_key
 
 
 def fit_rows(samples: DataFrame) -> DataFrame:
@@ -34,13 +35,28 @@ def hierarchical_mean(cells: DataFrame, samples: DataFrame, levels: list[list[st
     return chosen.join(profiles(cells, fit, levels, chosen), ["level", "key"]).select("sample_id", "feature_id", "mu", "level")
 
 
-def with_hierarchical_mean(cells: DataFrame, name: str, source: DataFrame, samples: DataFrame, levels: list[list[str]], serve: DataFrame) -> DataFrame:
-    """cells (sample_id, feature_id, ...) with the mean as column `name`: a sample's level is looked up, and its profile
-    joins by level, key and feature, so that no profile is first written out for every sample."""
-    fit = fit_rows(samples)
-    chosen = level_of(serve, fit, levels).select("sample_id", F.col("level").alias("__level"), F.col("key").alias("__key"))
-    means = profiles(source, fit, levels, chosen.toDF("sample_id", "level", "key")).toDF("__level", "__key", "feature_id", name)
-    return cells.join(chosen, "sample_id", "left").join(means, ["__level", "__key", "feature_id"], "left").drop("__level", "__key")
+def with_hierarchical_means(cells: DataFrame, source: DataFrame, samples: DataFrame, serve: DataFrame, hierarchies: dict[str, list[list[str]]], wanted: list[tuple[str, str, str]], min_rows: int = 3) -> DataFrame:
+    """cells (sample_id, feature_id, ...) with a column for each (name, hierarchy, column of `source`) in `wanted`: means
+    over fit rows at the finest level of the hierarchy with enough of them.
+
+    Levels of all hierarchies are looked up together, and all profiles come from one aggregate; a sample's profile then
+    joins by level, key and feature, so that none is written out for every sample.
+    """
+    spark, names = cells.sparkSession, list(hierarchies)
+    at = F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(i).alias("level"), level_key(k).alias("key")) for h, levels in hierarchies.items() for i, k in enumerate(levels, 1)]))
+    last = spark.createDataFrame([(h, len(levels)) for h, levels in hierarchies.items()], "h string, last int")
+    fit = fit_rows(samples).select("sample_id", at)
+    sizes = fit.groupBy("h", "level", "key").agg(F.count("*").alias("n")).join(F.broadcast(last), "h").where((F.col("n") >= min_rows) | (F.col("level") == F.col("last")))
+    chosen = serve.select("sample_id", at).join(sizes.select("h", "level", "key"), ["h", "level", "key"]).groupBy("sample_id", "h").agg(F.min("level").alias("level"), F.min_by("key", "level").alias("key"))
+    chosen = written(chosen, "chosen-levels")
+    columns = sorted({c for _, _, c in wanted})
+    used = fit.join(chosen.select("h", "level", "key").distinct(), ["h", "level", "key"], "left_semi")
+    means = written(used.join(source.select("sample_id", "feature_id", *columns), "sample_id").groupBy("h", "level", "key", "feature_id").agg(*[F.avg(c).alias(c) for c in columns]), "profiles")
+    out = cells.join(chosen.groupBy("sample_id").pivot("h", names).agg(F.first(F.struct("level", "key"))), "sample_id", "left")
+    for h in names:
+        part = means.where(F.col("h") == h).select(F.struct("level", "key").alias(h), "feature_id", *[F.col(c).alias(name) for name, of, c in wanted if of == h])
+        out = out.join(part, [h, "feature_id"], "left")
+    return out.drop(*names)
 
 
 def fallback_chain(grid: DataFrame, context: DataFrame, cells: DataFrame, samples: DataFrame) -> DataFrame:

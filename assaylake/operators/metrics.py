@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from assaylake.functions.scratch import written
 from assaylake.model import CONVENTIONS, MODULE_SPLITS, MODULE_WEIGHTS
 
 MIN_N = 3
@@ -41,6 +42,39 @@ def scores(pairs: DataFrame, *keys: str) -> DataFrame:
     return moments(pairs, *keys).select(*keys, "grain", "id", "n", pcc().alias("pcc"), r2().alias("r2"))
 
 
+def _merged(parts: DataFrame, *keys: str) -> DataFrame:
+    """Moments of groups put together: sums within groups plus those between them, about the common mean."""
+    n, mt, mp = F.col("n"), F.col("mean_t"), F.col("mean_p")
+    total = lambda c: F.sum(n * c)
+    names = ["min_t", "max_t", "min_p", "max_p"]
+    ends = [(F.min if c.startswith("min") else F.max)(c).alias(c) for c in names]
+    x = parts.where("n > 0").groupBy(*keys).agg(F.sum("n").alias("n_"), total(mt).alias("st"), total(mp).alias("sp"), total(F.col("var_t") + mt * mt).alias("stt"), total(F.col("var_p") + mp * mp).alias("spp"), total(F.col("cov") + mt * mp).alias("stp"), F.sum("ss_res").alias("ss_res"), *ends)
+    mean = lambda c: F.col(c) / F.col("n_")
+    spread = lambda c, a, b: F.greatest(F.lit(0.0), mean(c) - mean(a) * mean(b))
+    return x.select(*keys, F.col("n_").alias("n"), mean("st").alias("mean_t"), mean("sp").alias("mean_p"), (mean("stp") - mean("st") * mean("sp")).alias("cov"), spread("stt", "st", "st").alias("var_t"), spread("spp", "sp", "sp").alias("var_p"), *names, "ss_res")
+
+
+def scores_by_split(pairs: DataFrame, *keys: str) -> DataFrame:
+    """scores() of every split and of 'all', for pairs (keys, split, sample_id, feature_id, t, p).
+
+    Cells are aggregated twice, by sample and by feature; a sample has one split, and what is pooled, or of all splits,
+    is put together from those moments. The result has no groups without a shared cell.
+    """
+    aggs = [*moment_aggregates(), F.avg(F.when(F.col("p").isNotNull(), F.col("t"))).alias("mean_t"), F.avg(F.when(F.col("t").isNotNull(), F.col("p"))).alias("mean_p")]
+    whole = F.lit("all").alias("split")
+    by_sample = written(pairs.groupBy(*keys, "split", F.col("sample_id").alias("id")).agg(*aggs), "moments-of-samples")
+    by_feature = written(pairs.groupBy(*keys, "split", F.col("feature_id").alias("id")).agg(*aggs), "moments-of-features")
+    pooled = written(_merged(by_sample, *keys, "split").withColumn("id", F.lit("")), "moments-pooled")
+    every = by_sample.columns
+    several = lambda x, *more: _merged(x, *keys, *more).withColumn("split", whole)
+    parts = [("sample", by_sample), ("sample", by_sample.withColumn("split", whole)), ("feature", by_feature), ("feature", several(by_feature, "id")), ("pooled", pooled), ("pooled", several(pooled).withColumn("id", F.lit("")))]
+    out = None
+    for grain, x in parts:
+        x = x.select(*every).withColumn("grain", F.lit(grain))
+        out = x if out is None else out.unionByName(x)
+    return out.where("n > 0").select(*keys, "split", "grain", "id", "n", pcc().alias("pcc"), r2().alias("r2"))
+
+
 def summarise(scored: DataFrame, *keys: str) -> DataFrame:
     """(keys, grain, mean, median, defined and undefined counts of pcc and r2)"""
     aggs = [a for m in ("pcc", "r2") for a in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), F.count(m).alias(f"{m}_defined"), (F.count("*") - F.count(m)).alias(f"{m}_undefined"))]

@@ -51,8 +51,10 @@ def prediction_cells(s, d):
     dl = written(matching.delta(y, fx.samples(s, d)), "delta")
     cells = dl.join(t.where("split LIKE 'val_%'").select("sample_id", "split"), "sample_id")
     cells = cells.select("sample_id", "feature_id", "split", "y", F.col("value").alias("d"), "control").join(F.broadcast(fx.features(s, d)), "feature_id")
-    for name, source, levels in (("mu_ctx", dl, CONTEXT_LEVELS), ("mu_drug", dl, COMPOUND_LEVELS), ("context_mean", y, CONTEXT_LEVELS), ("context_mean_batch", y, CONTEXT_BATCH_LEVELS), ("global_mean", y, [[]])):
-        cells = frozen.with_hierarchical_mean(cells, name, source, t, levels, serve=t.where("split LIKE 'val_%'"))
+    source = y.withColumnRenamed("value", "of_y").join(dl.select("sample_id", "feature_id", F.col("value").alias("of_d")), ["sample_id", "feature_id"], "left")
+    hierarchies = {"in_context": CONTEXT_LEVELS, "in_compound": COMPOUND_LEVELS, "in_batch": CONTEXT_BATCH_LEVELS, "in_all": [[]]}
+    wanted = [("mu_ctx", "in_context", "of_d"), ("mu_drug", "in_compound", "of_d"), ("context_mean", "in_context", "of_y"), ("context_mean_batch", "in_batch", "of_y"), ("global_mean", "in_all", "of_y")]
+    cells = frozen.with_hierarchical_means(cells, source, t, t.where("split LIKE 'val_%'"), hierarchies, wanted)
     out = written(cells.withColumn("control_anchor", F.col("control")), "prediction-cells")
     for x in (y, t, dl):
         drop(x)

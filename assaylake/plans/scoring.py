@@ -30,7 +30,7 @@ def sc_moments(s, d):
 
 
 def _scores(s, d, preds=None):
-    return metrics.scores(pairs(predictions(s, d) if preds is None else preds), "model", "split", "family").where("n > 0")
+    return metrics.scores_by_split(pairs(predictions(s, d) if preds is None else preds, metric_split=False), "model", "family")
 
 
 @query("sc_pcc", sql(f"SELECT model, split, family, id, {r('pcc')} AS pcc FROM sc WHERE grain = 'sample'", _SC))

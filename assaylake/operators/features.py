@@ -53,6 +53,16 @@ def vocabulary(df: DataFrame, fit: DataFrame, column: str) -> DataFrame:
     return df.join(known, column, "left").withColumn(column, F.when(F.col("__known").isNull(), UNSEEN).otherwise(F.col(column))).drop("__known")
 
 
+def regime_mask(df: DataFrame, by_compound: list[str], by_strain: list[str]) -> DataFrame:
+    """df (regime, compound, strain, ...) without what its regime cannot know: columns that depend on a novel entity are
+    NULL, the entity is __UNSEEN__, and has_drug_prior and has_strain_prior say which was known."""
+    out = df
+    for entity, flag, columns, novel in (("compound", "has_drug_prior", by_compound, ["chem_novel", "both_novel"]), ("strain", "has_strain_prior", by_strain, ["strain_novel", "both_novel"])):
+        seen = ~F.col("regime").isin(*novel)
+        out = out.withColumns({flag: seen.cast("int"), entity: F.when(seen, F.col(entity)).otherwise(UNSEEN), **{c: F.when(seen, F.col(c)) for c in columns}})
+    return out
+
+
 def standardise(df: DataFrame, fit_condition: str, columns: list[str]) -> DataFrame:
     """z-scores by the fit rows' mean and sd (1 where that is tiny); gaps take the mean. The moments are one row."""
     stats = df.where(fit_condition).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

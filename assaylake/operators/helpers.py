@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators.factor import packed_sum
+
 
 def poisson_weight(rep: str, unit: str, seed: int = 42) -> Column:
     """A Poisson(1) count from the hash of repetition and unit: the same wherever a row lies and however often it is asked."""
@@ -44,7 +46,7 @@ def bootstrap_ci(per_sample: DataFrame, *keys: str, reps: int = 1000) -> DataFra
 def gram(vectors: DataFrame, array_col: str) -> DataFrame:
     """(a, b, s, n): for each pair of places a, b the sum of products over all rows, n the rows; nulls count as 0.
 
-    A partition adds up its own matrix, so what is shuffled is one matrix of places for each partition.
+    A partition adds up its own matrix and sends it by rows; those of one place are added up as they come.
     """
 
     def add_up(batches):
@@ -54,11 +56,18 @@ def gram(vectors: DataFrame, array_col: str) -> DataFrame:
             if len(x):
                 total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
         if total is not None:
-            a, b = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(total.ravel()), pa.array(np.full(total.size, n), pa.int64())], ["a", "b", "s", "n"])
+            k = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array([r.tobytes() for r in total], pa.binary())], ["a", "n", "data"])
+
+    def by_pair(batches):
+        for batch in batches:
+            for a, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(data, float)
+                k = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(s), pa.array([n] * k, pa.int64())], ["a", "b", "s", "n"])
 
     rows = vectors.where(F.col(array_col).isNotNull()).select(F.col(array_col).cast("array<double>"))
-    return rows.mapInArrow(add_up, "a int, b int, s double, n long").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return packed_sum(rows.mapInArrow(add_up, "a int, n long, data binary"), "a").mapInArrow(by_pair, "a int, b int, s double, n long")
 
 
 def pca(dense: DataFrame, fit: DataFrame, k: int = 10) -> tuple[DataFrame, list[float]]:

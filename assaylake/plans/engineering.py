@@ -9,6 +9,7 @@ from assaylake.functions.fixtures import sql
 from assaylake.model import r6
 from assaylake.operators import features, matching, ranks
 from assaylake.plans.common import delta, normalised, treated
+from assaylake.plans.frozen import _ROUTE, _routed
 from assaylake.plans.registry import query, r
 
 TABLES = {"d_ctx": ["strain", "medium", "temperature", "pert_time"], "d_strain": ["strain"], "d_drug": ["compound"], "d_drug_time": ["compound", "pert_time"], "d_batch": ["batch"], "d_plate": ["plate"], "d_time": ["pert_time"], "d_mtt": ["medium", "temperature", "pert_time"]}
@@ -120,7 +121,7 @@ def _design(s, d):
     drug = features.group_mean(dl.select("sample_id", "feature_id", "value"), fit, ["compound"]).select(F.col("key").alias("compound"), "feature_id", F.col("mean").alias("d_drug"))
     strain = features.group_mean(dl.select("sample_id", "feature_id", "value"), fit, ["strain"]).select(F.col("key").alias("strain"), "feature_id", F.col("mean").alias("d_strain"))
     x = features.derived_columns(treated(s, d))
-    return dl.join(x, "sample_id").join(F.broadcast(drug), ["compound", "feature_id"], "left").join(F.broadcast(strain), ["strain", "feature_id"], "left")
+    return dl.join(x, "sample_id").join(drug, ["compound", "feature_id"], "left").join(strain, ["strain", "feature_id"], "left")
 
 
 _DRUG = ", ".join(f"{n} AS (SELECT {k} AS {k}, feature_id, avg(value) AS {c} FROM delta JOIN samples USING (sample_id) WHERE split = 'train' GROUP BY 1, 2 HAVING count(value) >= 3)" for n, k, c in (("gd", "compound", "d_drug"), ("gs", "strain", "d_strain")))
@@ -159,10 +160,15 @@ def fe_missing_rate(s, d):
     return x.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), r6(c).alias("rate")) for c in ("control", "d_drug", "d_strain")])))
 
 
-@query("fe_regime_mask", sql("SELECT sample_id, feature_id, CASE WHEN split IN ('val_chem_only', 'test_chem_only') THEN NULL ELSE (round(d_drug, 6) + 0.0) END AS d_drug, CASE WHEN split IN ('val_strain_only', 'test_strain_only') THEN NULL ELSE (round(d_strain, 6) + 0.0) END AS d_strain FROM design", _DESIGN))
+_NO = {"compound": "regime IN ('chem_novel', 'both_novel')", "strain": "regime IN ('strain_novel', 'both_novel')"}
+
+
+@query("fe_regime_mask", sql(f"SELECT sample_id, feature_id, regime, CASE WHEN NOT {_NO['compound']} THEN (round(d_drug, 6) + 0.0) END AS d_drug, CASE WHEN NOT {_NO['strain']} THEN (round(d_strain, 6) + 0.0) END AS d_strain, " + ", ".join(f"CASE WHEN {_NO[c]} THEN '{features.UNSEEN}' ELSE {c} END AS {c}, CAST(NOT {_NO[c]} AS INT) AS {flag}" for c, flag in (("compound", "has_drug_prior"), ("strain", "has_strain_prior"))) + " FROM design JOIN routed USING (sample_id)", _DESIGN + ", " + _ROUTE))
 def fe_regime_mask(s, d):
-    blank = lambda c, end: F.when(~F.col("split").endswith(end), r6(c)).alias(c)
-    return _design(s, d).select("sample_id", "feature_id", blank("d_drug", "chem_only"), blank("d_strain", "strain_only"))
+    """By route, that is by which of its entities the fit rows have, whatever a row's split is called."""
+    x = _design(s, d).join(_routed(s, d).select("sample_id", "regime"), "sample_id")
+    x = features.regime_mask(x, ["d_drug"], ["d_strain"])
+    return x.select("sample_id", "feature_id", "regime", r6("d_drug").alias("d_drug"), r6("d_strain").alias("d_strain"), "compound", "has_drug_prior", "strain", "has_strain_prior")
 
 
 @query("fe_standardise_frozen", sql(f"SELECT sample_id, feature_id, {r('(coalesce(d_drug, m) - m) / CASE WHEN sd > 1e-6 THEN sd ELSE 1 END')} AS d_drug, {r('(control - cm) / CASE WHEN csd > 1e-6 THEN csd ELSE 1 END')} AS control FROM design, (SELECT avg(d_drug) AS m, stddev_pop(d_drug) AS sd, avg(control) AS cm, stddev_pop(control) AS csd FROM design WHERE split = 'train')", _DESIGN))

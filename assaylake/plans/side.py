@@ -135,9 +135,15 @@ def gr_edge_jaccard(s, d):
     return graph.edge_jaccard(y.where("weight >= c"), y.where("weight >= 1.1 * c")).withColumn("jaccard", r6("jaccard"))
 
 
-@query("gr_map_ids", "SELECT p_brand AS external_id, count(*) AS n_mapped, min(p_partkey) AS first_feature FROM part GROUP BY 1")
+@query("gr_map_ids", """WITH axis AS (SELECT DISTINCT l_partkey AS feature FROM lineitem), listed AS (SELECT DISTINCT p_brand AS external_id, p_partkey AS feature FROM part)
+SELECT external_id, count(listed.feature) AS n_listed, count(axis.feature) AS n_mapped, min(axis.feature) AS first_feature, count(axis.feature) > 0 AS mapped FROM listed LEFT JOIN axis USING (feature) GROUP BY 1
+UNION ALL SELECT NULL, count(*), 0, NULL, false FROM axis ANTI JOIN listed USING (feature)""")
 def gr_map_ids(s, d):
-    return fx.table(s, d, "part").select(F.col("p_brand").alias("external_id"), "p_partkey").dropDuplicates().groupBy("external_id").agg(F.count("*").alias("n_mapped"), F.min("p_partkey").alias("first_feature"))
+    """External ids with how many of their features are on the axis, ids with none among them, and in a row without an id
+    the features that no id lists."""
+    axis = fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("feature")).distinct()
+    listed = fx.table(s, d, "part").select(F.col("p_brand").alias("external_id"), F.col("p_partkey").alias("feature")).dropDuplicates()
+    return graph.map_ids(listed, axis)
 
 
 _TAN = _WORDS + """, sz AS (SELECT entity, count(*) AS n FROM bits GROUP BY 1),
@@ -255,9 +261,15 @@ def _hits(s, d):
     return lines.select("doc_id", "no", F.substring(F.trim("line"), 1, 400).alias("quote"), F.explode(flags).alias("probe"))
 
 
-@query("tx_locate", "WITH " + _HITS + " SELECT probe, doc_id, no, quote FROM (SELECT *, row_number() OVER (PARTITION BY probe, doc_id ORDER BY no) AS rk FROM hits) WHERE rk <= 6")
+@query("tx_locate", "WITH " + _HITS + " SELECT probe, doc_id IS NOT NULL AS found, CASE WHEN doc_id IS NULL THEN 0 ELSE n END AS n_hits, doc_id, no, quote FROM probes LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY probe, doc_id ORDER BY no) AS rk, count(*) OVER (PARTITION BY probe, doc_id) AS n FROM hits) USING (probe) WHERE rk <= 6 OR rk IS NULL")
 def tx_locate(s, d):
-    return _hits(s, d).withColumn("rk", F.row_number().over(Window.partitionBy("probe", "doc_id").orderBy("no"))).where("rk <= 6").select("probe", "doc_id", "no", "quote")
+    """Where each probe is found: its first six lines in each document, with how many the document has; a probe that is
+    nowhere is a row too."""
+    hits = _hits(s, d)
+    n = hits.groupBy("probe", "doc_id").agg(F.count("*").alias("n_hits"))
+    first = hits.withColumn("rk", F.row_number().over(Window.partitionBy("probe", "doc_id").orderBy("no"))).where("rk <= 6").join(n, ["probe", "doc_id"])
+    probes = s.createDataFrame([(p,) for p in PROBES], "probe string")
+    return probes.join(first, "probe", "left").select("probe", F.col("doc_id").isNotNull().alias("found"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "doc_id", "no", "quote")
 
 
 @query("tx_absence_survey", "WITH " + _HITS + " SELECT probe, count(doc_id) AS n_hits, CASE WHEN count(doc_id) > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS verdict FROM probes LEFT JOIN hits USING (probe) GROUP BY 1")

@@ -139,3 +139,25 @@ def trials(table: DataFrame, penalties: list[float]) -> list[tuple[str, float, f
             if n:
                 out.append((g, penalty, float(error / n), int(n)))
     return out
+
+
+def boosted(table: DataFrame, fold: int, rounds: int = 5, depth: int = 3, seed: int = 42) -> tuple[DataFrame, dict[str, list[float]]]:
+    """(sample_id, feature_id, regime, value, pred) of a fold's development cells by gradient-boosted trees, one model for
+    each regime over all of the fold's fit cells, and each model's importance of COLUMNS. A specialist's blank columns are
+    constant to it, when it is fitted and when it predicts."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    def seen(x: DataFrame, regime: str) -> DataFrame:
+        kept = [F.lit(0.0).alias(c) if c in BLANK[regime] else F.col(c) for c in COLUMNS]
+        return VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(x.select("sample_id", "feature_id", "regime", "value", *kept))
+
+    fit = written(table.where((F.col("fold") == fold) & F.col("fit")), "boosted-fit")
+    dev = table.where((F.col("fold") == fold) & ~F.col("fit"))
+    out, importance = None, {}
+    for regime in BLANK:
+        model = GBTRegressor(labelCol="value", featuresCol="features", predictionCol="pred", maxIter=rounds, maxDepth=depth, seed=seed).fit(seen(fit, regime))
+        importance[regime] = model.featureImportances.toArray().tolist()
+        part = model.transform(seen(dev.where(F.col("regime") == regime), regime)).select("sample_id", "feature_id", "regime", "value", "pred")
+        out = part if out is None else out.unionByName(part)
+    return out, importance

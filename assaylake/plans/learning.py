@@ -25,6 +25,17 @@ def ml_crossfit_predict(s, d):
     return crossfit.predict(x, crossfit.models(x)).select("sample_id", "feature_id", "fold", "regime", r6("pred").alias("pred"))
 
 
+@query("ml_regime_gbt")
+def ml_regime_gbt(s, d):
+    """(regime, n, mse, mse_of_mean): a fold's development cells by gradient-boosted specialists, beside the error of the
+    fit cells' mean. No SQL: a test holds that each cell is predicted once and that blank columns weigh nothing."""
+    x = _design(s, d)
+    p, _ = crossfit.boosted(x, 0)
+    mean = x.where("fold = 0 AND fit").agg(F.avg("value").alias("m"))
+    error = lambda c: r6(F.avg((F.col(c) - F.col("value")) * (F.col(c) - F.col("value"))))
+    return p.crossJoin(F.broadcast(mean)).groupBy("regime").agg(F.count("*").alias("n"), error("pred").alias("mse"), error("m").alias("mse_of_mean"))
+
+
 @query("route_ablation")
 def route_ablation(s, d):
     """By regime, what the specialists are worth: error and correlation of their predictions, and of those by the `full`

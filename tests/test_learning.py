@@ -79,6 +79,20 @@ def test_crossfit_against_plain(toy):
         assert all(shares[crossfit.COLUMNS.index(c)] == 0 for c in crossfit.BLANK[regime])
 
 
+def test_boosted_specialists(toy):
+    samples, table, _, _ = toy
+    x = crossfit.design(table, crossfit.dev_rows(samples, K), K)
+    pred, importance = crossfit.boosted(x, 1, rounds=3)
+    got = pred.collect()
+    dev = x.where("fold = 1 AND NOT fit").collect()
+    assert sorted((r.sample_id, r.feature_id, r.regime) for r in got) == sorted((r.sample_id, r.feature_id, r.regime) for r in dev)
+    for regime, shares in importance.items():
+        assert abs(sum(shares) - 1) < 1e-9
+        assert all(shares[crossfit.COLUMNS.index(c)] == 0 for c in crossfit.BLANK[regime])
+    mean = np.mean([r.value for r in x.where("fold = 1 AND fit").collect()])
+    assert np.mean([(r.pred - r.value) ** 2 for r in got]) < np.mean([(mean - r.value) ** 2 for r in got])
+
+
 def test_group_folds_and_fit_masks(toy):
     samples, _, rows, _ = toy
     train = [r for r in rows if r[4] == "train"]

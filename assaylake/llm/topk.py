@@ -1,10 +1,10 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-Vectors are cut into slices of dimensions; a slice's part of a score is a local score. Phase one gathers each slice's
-local top lists and scores what is on them exactly: the k-th best is a bound. If every local score of a vector is
-below bound / slices, its score is below the bound, so phase two collects what reaches that cutoff in some slice.
-Phase three resolves what it collects: the other slices' local scores are added in the task that holds the vector, and
-only what reaches the bound itself is sent on to be ranked.
+Vectors are cut into slices of dimensions that lie apart; a slice's part of a score is a local score. Phase one gathers
+each slice's local top lists and asks all slices for what is on them: the k-th best total is a bound. If every local score
+of a vector is below bound / slices, its score is below the bound, so phase two collects from each slice what reaches that
+cutoff, with its local score. Phase three asks a slice only for the pairs that another one sent and it did not; what
+reaches the bound is ranked.
 
 Semantics. Components become floor(scale * x), scores are integers (held to the range of a long). Vectors that are
 null, empty, or hold null or non-finite components take no part, nor do those of another length than the queries'.
@@ -24,7 +24,7 @@ from pyspark.sql import Window
 
 from assaylake.functions.scratch import drop, written
 
-EXACT = float(2**53)
+EXACT, LARGE = float(2**53), float(2**62)
 
 
 def local_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     few = rows.distinct().withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k + 1)
     distinct = few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     tasks = max(1, math.ceil(vectors.count() / rows_per_task))
-    table = written(distinct.select(F.col("ids")[0].alias("rep"), "ids", "vector").repartition(tasks), "vectors")
+    # ids may repeat with different vectors, so a vector has a name of its own
+    table = written(distinct.select("ids", "vector").repartition(tasks).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     asked = usable(vectors.where(is_query), scale, id_col, vector_col).distinct()
     blocks = max(1, math.ceil(asked.count() / query_block))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")), "queries")
@@ -89,75 +90,86 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
 
 def _block(spark, table: DataFrame, ids: np.ndarray, q: np.ndarray, width: int, k: int, slices: int) -> DataFrame:
+    same = table.where(F.size("vector") == width)
+    largest = same.agg(F.max(F.array_max(F.transform("vector", F.abs)))).head()[0] or 0.0
+    if float(np.abs(q).max(initial=0)) * largest * width >= LARGE:
+        slices = 1  # sums of parts could leave a long: such vectors stay whole, and scores are held to its range
     cuts = [width * i // slices for i in range(slices + 1)]
     spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
     m = len(spans)
     shared = spark.sparkContext.broadcast((ids, q))
-    same = table.where(F.size("vector") == width).select("rep", "ids", "vector")
-
-    def parts(batch: pa.RecordBatch) -> list[np.ndarray]:
-        x = _matrix(batch.column(2), width)
-        return [local_scores(shared.value[1][:, a:b], x[:, a:b]) for a, b in spans]
-
-    def others(batch: pa.RecordBatch) -> np.ndarray:
-        """Whether a row's vector has an id other than the query's own."""
-        own = shared.value[0][:, None] == batch.column(0).to_numpy()[None, :]
-        single = np.array([len(set(x)) == 1 for x in batch.column(1).to_pylist()])
-        return ~(own & single[None, :])
-
-    pair = ["q", "slice", "rep", "part"]
-
-    def gather(batches):  # phase one
+    # a vector that has but one id is no candidate of the query of that id
+    alone = F.struct(F.col("ids")[0].alias("first"), (F.size(F.array_distinct("ids")) == 1).alias("single"))
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("slice"), F.slice("vector", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(spans)]))
+    apart = written(same.select("rep", alone.alias("alone"), each).repartition("slice", "rep"), "slices")
+
+    def local(batch: pa.RecordBatch):
+        """(slice, rows, local scores of all queries, whether a row is a candidate) for each slice in a batch."""
+        which = batch.column(2).to_numpy()
+        for s in np.unique(which).tolist():
+            a, b = spans[s]
+            rows = np.flatnonzero(which == s)
+            part = local_scores(shared.value[1][:, a:b], _matrix(batch.column(3).take(pa.array(rows)), b - a))
+            first, single = (c.to_numpy(zero_copy_only=False)[rows] for c in batch.column(1).flatten())
+            yield s, rows, part, ~(single[None, :] & (shared.value[0][:, None] == first[None, :]))
+
+    def sent(qi: np.ndarray, s: int, reps: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        held = np.array([_as_long(v) for v in scores.tolist()], np.int64) if scores.dtype == object or m == 1 else scores.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(qi.astype(np.int32)), pa.array(np.full(len(qi), s), pa.int32()), pa.array(reps, pa.int64()), pa.array(held)], ["q", "slice", "rep", "score"])
+
+    def gather(batches):  # phase one: each slice's local lists
         for b in batches:
-            if not b.num_rows:
-                continue
-            ok = others(b)
-            reps = b.column(0).to_numpy()
-            for s, p in enumerate(parts(b)):
-                shown = np.where(ok, p.astype(float), -np.inf)
-                top = np.argpartition(-shown, min(k, b.num_rows) - 1, axis=1)[:, :k]
-                qi = np.repeat(np.arange(len(p)), top.shape[1])
-                at = top.ravel()
+            for s, rows, part, ok in local(b):
+                shown = np.where(ok, part.astype(float), -np.inf)
+                top = np.argpartition(-shown, min(k, len(rows)) - 1, axis=1)[:, :k]
+                qi, at = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
                 good = ok[qi, at]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[good], pa.int32()), pa.array(np.full(int(good.sum()), s), pa.int32()), pa.array(reps[at[good]], pa.int64()), pa.array(shown[qi[good], at[good]], pa.float64())], pair)
+                qi, at = qi[good], at[good]
+                yield sent(qi, s, b.column(0).to_numpy()[rows[at]], part[qi, at])
 
-    lists = same.mapInArrow(gather, "q int, slice int, rep long, part double")
-    best = lists.withColumn("n", F.row_number().over(Window.partitionBy("q", "slice").orderBy(F.desc("part"), "rep"))).where(F.col("n") <= k).select("q", "rep").distinct()
+    schema = "q int, slice int, rep long, score long"
+    columns = apart.select("rep", "alone", "slice", "part")
+    lists = columns.mapInArrow(gather, schema)
+    order = Window.partitionBy("q", "slice").orderBy(F.desc("score"), "rep")
+    listed = lists.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "rep").distinct()
 
-    def exact(batches):  # the few of phase one's lists
+    def asked(batches):
         for b in batches:
-            x = _matrix(b.column(2), width)
-            own = shared.value[1]
-            scores = [_as_long(sum(int(u) * int(v) for u, v in zip(own[i], r, strict=True))) if np.abs(own[i]).max() * np.abs(r).max() * width >= EXACT else int(own[i] @ r) for i, r in zip(b.column(3).to_pylist(), x, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array(scores, pa.int64())], ["q", "ids", "score"])
-
-    def resolved(pairs: DataFrame) -> DataFrame:
-        return same.join(pairs, "rep").select("rep", "ids", "vector", "q").mapInArrow(exact, "q int, ids array<long>, score long")
-
-    bound = Window.partitionBy("q").orderBy(F.desc("score"))
-    cut = resolved(best).withColumn("n", F.row_number().over(bound)).where(F.col("n") == k).select("q", "score").toPandas()
+            for s, rows in ((s, np.flatnonzero(b.column(2).to_numpy() == s)) for s in range(m)):
+                if len(rows):
+                    lo, hi = spans[s]
+                    x, own = _matrix(b.column(3).take(pa.array(rows)), hi - lo), shared.value[1][:, lo:hi]
+                    qi = b.column(1).to_numpy()[rows]
+                    large = np.abs(own).max(initial=0) * np.abs(x).max(initial=0) * (hi - lo) >= EXACT
+                    scores = np.array([sum(int(u) * int(v) for u, v in zip(own[i], r, strict=True)) for i, r in zip(qi, x, strict=True)], object) if large else np.einsum("ij,ij->i", own[qi], x)
+                    yield sent(qi, s, b.column(0).to_numpy()[rows], scores)
+
+    def local_of(pairs: DataFrame, *keys: str) -> DataFrame:
+        """The local scores of pairs (q, rep[, slice]) from the slices that are asked for."""
+        return apart.join(pairs, list(keys)).select("rep", "q", "slice", "part").mapInArrow(asked, schema)
+
+    totals = local_of(listed, "rep").groupBy("q", "rep").agg(F.sum("score").alias("score"))
+    bound = Window.partitionBy("q").orderBy(F.desc("score"))  # of the lists, at most k a slice
+    cut = totals.withColumn("n", F.row_number().over(bound)).where(F.col("n") == k).select("q", "score").toPandas()
     least = np.full(len(ids), -(2**63), np.int64)  # fewer than k candidates: everything is collected
     least[cut["q"].to_numpy(int)] = cut["score"].to_numpy(np.int64)
     safe = spark.sparkContext.broadcast(least)
 
-    def collect(batches):  # phases two and three: what reaches the cutoff in a slice, its other local scores added where it lies
+    def collect(batches):  # phase two: each slice's entries that reach its share of the cutoff
         cutoff = np.where(safe.value == -(2**63), -np.inf, np.nextafter(safe.value / m, -np.inf))[:, None]
         for b in batches:
-            if not b.num_rows:
-                continue
-            local = parts(b)
-            reached = np.logical_or.reduce([p.astype(float) >= cutoff for p in local])
-            qi, at = np.nonzero(reached & others(b))
-            whole = [p[qi, at] for p in local]
-            if any(p.dtype == object or np.abs(p).max(initial=0) * m >= EXACT for p in whole):
-                score = np.array([_as_long(sum(int(p[i]) for p in whole)) for i in range(len(qi))], np.int64)
-            else:
-                score = sum(whole).astype(np.int64)
-            good = score >= safe.value[qi]
-            yield pa.RecordBatch.from_arrays([pa.array(qi[good].astype(np.int32)), b.column(1).take(pa.array(at[good])), pa.array(score[good])], ["q", "ids", "score"])
-
-    found = same.mapInArrow(collect, "q int, ids array<long>, score long")
-    named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.int64())}))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    each = found.join(F.broadcast(named), "q").select("q", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for s, rows, part, ok in local(b):
+                qi, at = np.nonzero((part.astype(float) >= cutoff) & ok)
+                yield sent(qi, s, b.column(0).to_numpy()[rows[at]], part[qi, at])
+
+    known = columns.mapInArrow(collect, schema).groupBy("q", "rep").agg(F.sum("score").alias("score"), F.collect_set("slice").alias("has"))
+    known = written(known, "collected")
+    # phase three: a slice that sent nothing is asked for what could still reach the bound
+    missing = known.where(F.size("has") < m).select("q", "rep", F.explode(F.array_except(F.array(*[F.lit(s) for s in range(m)]), "has")).alias("slice"))
+    rest = local_of(missing, "slice", "rep")
+    bounds = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.int64()), "least": pa.array(least)}))
+    whole = known.select("q", "rep", "score").unionByName(rest.select("q", "rep", "score")).groupBy("q", "rep").agg(F.sum("score").alias("score"))
+    whole = whole.join(F.broadcast(bounds), "q").where("score >= least")  # a row for each query of the block
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    named = whole.join(same.select("rep", "ids"), "rep").select("q", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -267,3 +267,20 @@ def test_top_k_against_brute_force(spark):
         want = sorted(((i, sum(a * b for a, b in zip(floor[q], v, strict=True))) for i, v in floor.items() if i != q), key=lambda x: (-x[1], x[0]))[:5]
         assert got[q] == want
     assert set(got) == {i for i in floor if i % 20 == 0}
+
+
+@pytest.mark.parametrize(("scale", "slices"), [(1.0, 3), (1e9, 2), (1e17, 2)])
+def test_top_k_with_ids_that_repeat(spark, scale, slices):
+    """Ids with several vectors and vectors with several ids, and scores beyond a double and a long."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * scale for _ in range(6)]) for i in range(90)] + [(500 + i, [0.5 * scale] * 6) for i in range(9)] + [(7, [0.9 * scale] * 6), (21, [0.8 * scale, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got: dict[int, list] = {}
+    for r in topk.top_k(df, df["vec_id"] % 20 == 0, k=5, slices=slices).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    queries = [(i, v) for i, v in whole if i % 20 == 0]
+    assert set(got) == {i for i, _ in queries}
+    for q, own in queries:
+        assert got[q] == sorted(((i, held(sum(a * b for a, b in zip(own, v, strict=True)))) for i, v in whole if i != q), key=lambda x: (-x[1], x[0]))[:5]

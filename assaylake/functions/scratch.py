@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_of_app: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when its driver ends."""
+    path = f"{shared_dir(spark)}/assaylake-{spark.sparkContext.applicationId}"
+    if path not in _of_app:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _of_app.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared folder and read back: its lineage is now files."""
+    """df written as Parquet under the shared folder and read back: its lineage is now files.
+
+    drop() deletes it once nothing reads it; what is read by a result that is handed on stays until the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path  # type: ignore[attr-defined]

@@ -6,7 +6,6 @@ are sorted where they lie, each task counts what it holds, and offsets are sums
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

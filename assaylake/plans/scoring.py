@@ -89,9 +89,9 @@ _LONG = _SC + _COUNTS + """, mlong AS (SELECT model, split, CASE WHEN family IN
   UNION ALL SELECT model, 'all', 'dep', 'recall_at_k', avg(rk_k) FROM rk GROUP BY 1 UNION ALL SELECT model, 'all', 'dep', 'auprc', avg(auprc) FROM ap GROUP BY 1)"""
 
 
-def metric_rows(s, d):
+def metric_rows(s, d, preds=None):
     """(model, split, family, metric, value): everything that a module can ask for."""
-    preds = predictions(s, d)
+    preds = predictions(s, d) if preds is None else preds
     sm = metrics.summarise(_scores(s, d, preds), "model", "split", "family")
     fam = F.col("family").isin("ctx", "drug")
     prefix = F.when(fam, F.concat(F.col("family"), F.lit("_"))).otherwise("")

@@ -1,8 +1,11 @@
 """Steps whose rows must not grow with the product of two tables."""
 
+import random
+
 import pytest
 from test_queries import test_query_equals_sql as equals_sql
 
+from assaylake.operators import graph
 from assaylake.plans import extra
 
 
@@ -16,3 +19,18 @@ def test_reactions_of_the_same_enzymes_are_one_class(spark):
 @pytest.mark.parametrize("name", ["kb_flux_penalty"])
 def test_equals_sql(spark, name):
     equals_sql(spark, name)
+
+
+def test_nearest_sets_in_small_blocks(spark):
+    """Equal to counting over many blocks, with sizes apart, copies, ties and sets alone; pairs of entities are never rows."""
+    rng = random.Random(4)
+    sets = {i: {f"b{int(rng.paretovariate(0.5)) % 90}" for _ in range(rng.choice([2, 9, 60]))} for i in range(70)}
+    sets |= {100 + i: set(sets[i]) for i in range(9)} | {200: {"alone"}}
+    rows = [(i, sorted(x), i % 5 != 0) for i, x in sets.items()] + [(300, [], True)]
+    for block, common in ((7, 4), (2048, 1024)):
+        table = spark.createDataFrame(rows, "entity long, set array<string>, fit boolean").repartition(3)
+        got = {r.entity: (r.nearest, r.similarity) for r in graph.nearest_sets(table, block=block, common=common).collect()}
+        for i, a in sets.items():
+            best = max(((len(a & b) / len(a | b), -j) for j, b in sets.items() if j % 5 and j != i and a & b), default=(0.0, None))
+            assert got.pop(i) == (None if best[1] is None else -best[1], best[0])
+        assert not got

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
-from assaylake.operators import graph
+from assaylake.operators import factor, graph
 from assaylake.plans import extra
 
 
@@ -34,3 +36,18 @@ def test_nearest_sets_in_small_blocks(spark):
             best = max(((len(a & b) / len(a | b), -j) for j, b in sets.items() if j % 5 and j != i and a & b), default=(0.0, None))
             assert got.pop(i) == (None if best[1] is None else -best[1], best[0])
         assert not got
+
+
+def test_nodes_with_many_edges_meet_a_tile_once(spark):
+    rng = np.random.default_rng(5)
+    found = {(h, 10 + i): float(rng.random()) for h in range(2) for i in range(400)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in found.items()], "src long, dst long, weight double")
+    degrees = spark.createDataFrame([(h, h, 1.0, 400) for h in range(2)] + [(10 + i, 10 + i, 1.0, 2) for i in range(400)], "id long, node long, degree double, edges long")
+    tiles, needs = factor._tiles(edges, degrees, size=100)
+    assert tiles.count() == 8 and needs.count() == 400 + 2 * 8
+    sent = needs.withColumn("y", F.array(F.col("id").cast("double"), F.lit(1.0)))
+    parts = tiles.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(factor._tile_product, "id long, ay array<double>")
+    got = {r.id: (r.a, r.b) for r in parts.groupBy("id").agg(F.sum(F.col("ay")[0]).alias("a"), F.sum(F.col("ay")[1]).alias("b")).collect()}
+    for v in (0, 1, 10, 409):
+        mine = [(b if a == v else a, w) for (a, b), w in found.items() if v in (a, b)]
+        assert np.allclose(got[v], (sum(u * w for u, w in mine), sum(w for _, w in mine)))

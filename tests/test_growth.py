@@ -1,5 +1,6 @@
 """Steps whose rows must not grow with the product of two tables."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
-from assaylake.operators import factor, graph
+from assaylake.operators import factor, graph, helpers
 from assaylake.plans import extra
 
 
@@ -51,3 +52,20 @@ def test_nodes_with_many_edges_meet_a_tile_once(spark):
     for v in (0, 1, 10, 409):
         mine = [(b if a == v else a, w) for (a, b), w in found.items() if v in (a, b)]
         assert np.allclose(got[v], (sum(u * w for u, w in mine), sum(w for _, w in mine)))
+
+
+def test_bootstrap_draws_a_sample_once_for_all_keys(spark):
+    """Equal to sums row by row, and what is drawn is never a row: a task sends a row for each key and repetition."""
+    rng = random.Random(6)
+    rows = [(k, str(i), None if i % 7 == 0 else rng.random()) for k in ("a", "b", None) for i in range(30)]
+    got = {r.k: r for r in helpers.bootstrap_ci(spark.createDataFrame(rows, "k string, sample_id string, value double").repartition(3), "k", reps=50).collect()}
+    assert set(got) == {"a", "b"}
+    for k in got:
+        known = [(x, v) for kk, x, v in rows if kk == k and v is not None]
+        means = []
+        for rep in range(50):
+            u = [int(hashlib.md5(f"42:{rep}:{x}".encode()).hexdigest()[:8], 16) / 2.0**32 for x, _ in known]
+            w = [next((i for i, p in enumerate(helpers.POISSON) if y < p), len(helpers.POISSON)) for y in u]
+            assert w == [helpers.drawn(x, 50)[rep] for x, _ in known]
+            means.append(sum(a * v for a, (_, v) in zip(w, known, strict=True)) / sum(w))
+        assert np.allclose([got[k].lo, got[k].hi], np.quantile(means, [0.025, 0.975]))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
-from assaylake.operators import factor, graph, helpers
-from assaylake.plans import extra
+from assaylake.operators import factor, graph, helpers, metrics
+from assaylake.plans import common, extra
 
 
 def test_reactions_of_the_same_enzymes_are_one_class(spark):
@@ -19,7 +19,7 @@ def test_reactions_of_the_same_enzymes_are_one_class(spark):
     assert sorted((r["class"], r.feature_id) for r in classes.collect()) == [(1, "a"), (1, "b"), (2, "b"), (4, "c"), (6, "a"), (6, "b"), (6, "c")]
 
 
-@pytest.mark.parametrize("name", ["kb_flux_penalty"])
+@pytest.mark.parametrize("name", ["kb_flux_penalty", "sc_round_sensitivity", "sc_dep_auprc", "sc_dep_rank"])
 def test_equals_sql(spark, name):
     equals_sql(spark, name)
 
@@ -69,3 +69,13 @@ def test_bootstrap_draws_a_sample_once_for_all_keys(spark):
             assert w == [helpers.drawn(x, 50)[rep] for x, _ in known]
             means.append(sum(a * v for a, (_, v) in zip(w, known, strict=True)) / sum(w))
         assert np.allclose([got[k].lo, got[k].hi], np.quantile(means, [0.025, 0.975]))
+
+
+def test_cells_dealt_by_sample_are_shuffled_once(spark):
+    """Ranks and sums of each model within a sample take the exchange of the cells, before these are made rows of models."""
+    names = ["control", "mu_ctx", "mu_drug", "y", "d", *[m for m in common.MODELS if m != "control"]]
+    cells = spark.createDataFrame([(str(i % 5), f"f{i}", i, "val_time", *([float(i)] * len(names))) for i in range(40)], ["sample_id", "feature_id", "feature_idx", "split", *names])
+    x = common.as_predictions(common.by_sample(cells)).withColumnsRenamed({"d": "t", "d_pred": "p"})
+    for f in (metrics.dep_counts, metrics.dep_rank, metrics.dep_auprc):
+        plan = f(x, keys=("sample_id", "model"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan

@@ -80,3 +80,21 @@ def test_search_improves_and_promotes(spark):
     assert finer >= score - 1e-9 and fine.shape == (4, 2, 3) and fine.min() >= 0
     alone = [_exact(cells, w)["total"] for at in np.ndindex(4, 2, 3) for g in blending.GRID for w in [blending.promote(coarse, np.zeros(3, int)).copy()] if not w.__setitem__(at, g)]
     assert finer >= max(alone) - 1e-6
+
+
+def test_a_batch_of_slices_is_one_product():
+    """Moments of many slices under many weights at once, from sums of cells, against those of the blended cells."""
+    rng = np.random.default_rng(9)
+    cells = rng.normal(size=(5, 3, 7, 4))  # slices, clusters, cells, (t, b, two roles)
+    t, b, f = cells[..., 0], cells[..., 1], cells[..., 2:]
+    i, j = np.triu_indices(2)
+    sums = np.concatenate([np.stack([t * 0 + 1, t, t * t, b, b * b, t * b], -1), f, t[..., None] * f, b[..., None] * f, f[..., i] * f[..., j]], -1).sum(axis=2)
+    sums[2, 1] = 0  # a slice without a cell in a cluster
+    w = rng.uniform(size=(6, 2, 3))
+    got = blending._moments(sums, np.stack([blending._terms(w[..., c]) for c in range(3)]))
+    for row in range(5):
+        for k in range(6):
+            used = [c for c in range(3) if (row, c) != (2, 1)]
+            x = np.concatenate([t[row, c] for c in used])
+            p = np.concatenate([b[row, c] + f[row, c] @ w[k, :, c] for c in used])
+            assert np.allclose(got[:, row, k], [len(x), x.sum(), x @ x, p.sum(), p @ p, x @ p])

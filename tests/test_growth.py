@@ -79,3 +79,10 @@ def test_cells_dealt_by_sample_are_shuffled_once(spark):
     for f in (metrics.dep_counts, metrics.dep_rank, metrics.dep_auprc):
         plan = f(x, keys=("sample_id", "model"))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_symbols_are_looked_for_once(spark):
+    """An exploded array of flags was evaluated again by the filter put before it."""
+    equals_sql(spark, "tx_named_entities")
+    plan = extra.tx_named_entities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == len(extra.SYMBOLS)

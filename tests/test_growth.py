@@ -1,13 +1,16 @@
 """Steps whose rows must not grow with the product of two tables."""
 
+import glob
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
+from assaylake.functions import scratch
 from assaylake.operators import factor, graph, helpers, metrics
 from assaylake.plans import common, extra
 
@@ -86,3 +89,20 @@ def test_symbols_are_looked_for_once(spark):
     equals_sql(spark, "tx_named_entities")
     plan = extra.tx_named_entities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == len(extra.SYMBOLS)
+
+
+def test_what_is_written_leaves_no_shuffle_behind(spark):
+    folder = spark.conf.get("spark.local.dir")
+
+    def shuffles():
+        return set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+
+    before = shuffles()
+    out = scratch.written(spark.range(100_000).repartition(3, "id").groupBy("id").count(), "some")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert out.count() == 100_000
+    scratch.drop(out)

@@ -176,6 +176,14 @@ def _resolve(window: int, k: int, shard_segments: int):
     return run
 
 
+def _together(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """(seg1, seg2, shift, owners): the owners of a segment's windows (seg1, seg2, shift, d1, d2), each once, in one row
+    from shift 0, as other segments have them. `found` has each window's own (as seg1, seg2) and its one owner."""
+    one = found.select(F.col("seg1").alias("d1"), F.col("seg2").alias("d2"), F.get("owners", F.lit(0)).alias("owner"))
+    listed = windows.select("seg1", "seg2", "shift", "d1", "d2").join(one, ["d1", "d2"]).groupBy("seg1", "seg2").agg(F.array_sort(F.collect_list(F.struct("shift", "owner"))).alias("w"))
+    return listed.select("seg1", "seg2", F.lit(0).alias("shift"), F.col("w.owner").alias("owners"))
+
+
 def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segments: int = 1500, crowded: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rank, th, starts array<int>): where repeated windows start, for the rows that have some.
 
@@ -203,13 +211,14 @@ def repeated_windows(docs: DataFrame, window: int = 50, k: int = 16, shard_segme
         owned = resolved(calm)
     else:
         words = F.split("text", " ")
-        crowd = texts.join(large, "anchor").select("seg1", "seg2", "anchor_at", "rank", words.alias("w"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("shift"))
+        # slices of the input may each have a segment's text: it is opened once
+        crowd = texts.join(large, "anchor").groupBy("seg1", "seg2").agg(F.min("rank").alias("rank"), F.first("anchor_at").alias("anchor_at"), F.first("text").alias("text"))
+        crowd = crowd.select("seg1", "seg2", "anchor_at", "rank", words.alias("w"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("shift"))
         crowd = crowd.select("seg1", "seg2", "shift", (F.col("anchor_at") - F.col("shift")).alias("anchor_at"), "rank", F.array_join(F.slice("w", F.col("shift") + 1, window), " ").alias("text"))
         crowd = written(crowd.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(7), "text")}), "crowded-windows")
         one = crowd.groupBy("d1", "d2").agg(F.min("rank").alias("rank"), F.first("anchor_at").alias("anchor_at"), F.first("text").alias("text"))
         found = resolved(one.select(F.col("d1").alias("place"), F.col("d1").alias("seg1"), F.col("d2").alias("seg2"), F.lit(0).alias("shift"), "anchor_at", "rank", "text"))
-        found = crowd.select("seg1", "seg2", "shift", "d1", "d2").join(found.select(F.col("seg1").alias("d1"), F.col("seg2").alias("d2"), "owners"), ["d1", "d2"])
-        owned = resolved(calm.join(large, "anchor", "left_anti")).unionByName(found.select("seg1", "seg2", "shift", "owners"))
+        owned = resolved(calm.join(large, "anchor", "left_anti")).unionByName(_together(crowd, found))
     hits = segments.where("text IS NULL").select("rank", "th", "start", "seg1", "seg2").join(owned, ["seg1", "seg2"]).where(F.exists("owners", lambda o: o < F.col("rank")))
     hits = hits.select("rank", "th", F.transform(F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda i: F.get("owners", i) < F.col("rank")), lambda i: i + F.col("start") + F.col("shift")).alias("starts"))
     out = written(hits.groupBy("rank", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
 from assaylake.functions import scratch
+from assaylake.llm import substrings
 from assaylake.operators import factor, graph, helpers, metrics
 from assaylake.plans import common, extra
 
@@ -106,3 +107,15 @@ def test_what_is_written_leaves_no_shuffle_behind(spark):
     assert not shuffles() - before
     assert out.count() == 100_000
     scratch.drop(out)
+
+
+def test_a_crowded_segment_has_one_row_of_owners(spark):
+    """A row for each window met every occurrence of its segment."""
+    windows = spark.createDataFrame([(1, 2, i, 10 + i, 0) for i in (2, 0, 1)] + [(3, 4, 0, 12, 0)], "seg1 long, seg2 long, shift int, d1 long, d2 long")
+    found = spark.createDataFrame([(10 + i, 0, 0, [7 - i]) for i in range(3)], "seg1 long, seg2 long, shift int, owners array<long>")
+    assert sorted(map(tuple, substrings._together(windows, found).collect())) == [(1, 2, 0, [7, 6, 5]), (3, 4, 0, [5])]
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([f"a{i}", *base[i % 5 : 150 + i % 7], f"z{i}"])) for i in range(24)], "doc_id long, text string").repartition(5)
+    few, many = (sorted((r["rank"], sorted(r.starts)) for r in substrings.repeated_windows(docs, crowded=c).collect()) for c in (1, 1500))
+    assert few == many and len(few) == 23

@@ -79,6 +79,26 @@ def test_crossfit_against_plain(toy):
         assert all(shares[crossfit.COLUMNS.index(c)] == 0 for c in crossfit.BLANK[regime])
 
 
+def test_design_of_one_fold_is_a_part_of_the_whole_and_shuffles_no_copies(toy):
+    samples, table, _, _ = toy
+    rows = crossfit.dev_rows(samples, K)
+    names = ["sample_id", "feature_id", "fold", "fit", "regime", "value", *crossfit.COLUMNS]
+    whole = crossfit.design(table, rows, K)
+    for folds in ([0], [1, 2]):
+        got = {tuple(r)[:5]: tuple(r)[5:] for r in crossfit.design(table, rows, K, folds=folds).select(*names).collect()}
+        want = {tuple(r)[:5]: tuple(r)[5:] for r in whole.select(*names).collect() if r.fold in folds}
+        assert set(got) == set(want) and all(np.allclose(got[x], want[x], atol=1e-9) for x in want)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_trials_read_the_design_once(toy, spark, monkeypatch):
+    samples, table, _, _ = toy
+    x, asked, plain = crossfit.design(table, crossfit.dev_rows(samples, K), K), [], crossfit.comoments
+    monkeypatch.setattr(crossfit, "comoments", lambda t, *keys: asked.append(keys) or plain(t, *keys))
+    assert len(crossfit.trials(x, [1.0])) == 4 and len(asked) == 1
+
+
 def test_boosted_specialists(toy):
     samples, table, _, _ = toy
     x = crossfit.design(table, crossfit.dev_rows(samples, K), K)

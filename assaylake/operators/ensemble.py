@@ -17,6 +17,13 @@ def weighted_blend(members: DataFrame, weights: DataFrame) -> DataFrame:
     return members.join(F.broadcast(weights), ["regime", "role", "cluster"]).groupBy("sample_id", "feature_id").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("blend"))
 
 
+def blend_of_wide(wide: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """(sample_id, feature_id, blend): the same where a cell is one row with a column for each member; nothing is shuffled.
+    `weights` has each member's, which may depend on the row; a null member counts as 0."""
+    total = sum((w * F.coalesce(F.col(m), F.lit(0.0)) for m, w in weights.items()), F.lit(0.0))
+    return wide.select("sample_id", "feature_id", total.alias("blend"))
+
+
 def gram(wide: DataFrame, roles: list[str], *keys: str) -> DataFrame:
     """Sums that any weighting can be scored from: n, T, TT, and for each pair of members F, TF, FF. One aggregate."""
     t = F.col("t")

@@ -4,10 +4,11 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import test_query_equals_sql as equals_sql
 
 from assaylake.functions import fixtures as fx
-from assaylake.operators import metrics, normalize
+from assaylake.operators import ensemble, metrics, normalize
 
 
 def test_median_normalise_joins_no_medians(spark):
@@ -45,6 +46,17 @@ def test_metrics_of_one_sort_equal_those_of_three(spark):
         assert (r.auprc is None) if s not in area else abs(r.auprc - area[s].auprc) < 1e-12
 
 
+def test_blend_of_wide_equals_the_blend_of_members(spark):
+    rng = random.Random(7)
+    rows = [(f"s{i}", f"f{j}", j % 2, rng.choice([None, rng.random()]), rng.random()) for i in range(6) for j in range(5)]
+    wide = spark.createDataFrame(rows, "sample_id string, feature_id string, cluster int, a double, b double")
+    weights = spark.createDataFrame([("full", m, c, v + 0.1 * c) for m, v in (("a", 0.6), ("b", 0.3)) for c in (0, 1)], "regime string, role string, cluster int, w double")
+    members = wide.unpivot(["sample_id", "feature_id", "cluster"], ["a", "b"], "role", "value").withColumn("regime", F.lit("full"))
+    key = lambda x: {(r.sample_id, r.feature_id): round(r.blend, 12) for r in x.collect()}
+    out = ensemble.blend_of_wide(wide, {m: F.lit(v) + 0.1 * F.col("cluster") for m, v in (("a", 0.6), ("b", 0.3))})
+    assert key(out) == key(ensemble.weighted_blend(members, weights)) and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["sc_detection_subcohort", "sc_masked_losses", "vf_score_consistency", "en_weighted_blend", "tf_median_normalise"])
 def test_equals_sql(spark, name):
     equals_sql(spark, name)

@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from assaylake.functions.components import connected_components
 from assaylake.operators import ensemble, features, graph, helpers, matching, normalize
 
@@ -82,6 +84,18 @@ def test_graph_components_match_union_find_and_keep_isolated_nodes(spark):
     assert got == {n: root(n) for n in nodes}
 
 
+def test_components_of_numbered_nodes_have_the_names_of_named_ones(spark):
+    rng = random.Random(11)
+    pairs = sorted({(2 * rng.randrange(70) + 1, 2 * rng.randrange(120)) for _ in range(90)})
+    nodes = [(n,) for n in sorted({n for e in pairs for n in e} | {2001})] + [(None,)]
+    name = lambda c: F.concat(F.when(c.bitwiseAND(F.lit(1)) == 1, "s").otherwise("p"), F.shiftright(c, 1))
+    edges, nodes = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame(nodes, "node long")
+    named = graph.components(edges.select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst")), nodes.select(name(F.col("node")).alias("node")))
+    want = sorted(named.collect(), key=str)
+    for few in (0, 1000):
+        assert sorted(graph.named_components(edges, nodes, name, few).collect(), key=str) == want
+
+
 def test_tanimoto_is_exact_at_every_similarity(spark):
     rng = random.Random(8)
     sets = {i: {f"b{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 60))} for i in range(80)}

@@ -13,6 +13,7 @@ import math
 import os
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,26 @@ def _cut(layout: dict) -> regex.Pattern | None:
     return None
 
 
+class Remembered(dict):
+    """A dictionary that asks `learn` for what it lacks; what is longer than 100 letters is not kept."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.learn(key)
+        if len(key) <= 100:
+            self[key] = found
+        return found
+
+
+def is_latin1(text: str) -> bool:
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
 class WordTokenizer:
     """Ids of whole texts, with ids of white-space separated words remembered up to `cache_size` words.
 
@@ -64,11 +85,36 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Remembered(self._latin)
         self.pieces: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(len(self.ends))]
         with open(path, encoding="utf-8") as f:
             self.cut = _cut(json.load(f))
+        #: marks that the pattern cuts from the letters before them
+        self.marks = {m for m in ",.!?;:" if self.cut and self.cut.findall("a" + m) == ["a", m] and self.cut.findall("\xe9x" + m) == ["\xe9x", m]}
+
+    def _piece(self, x: str) -> bytes:
+        found = self.pieces.get(x)
+        if found is None:
+            letters = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            raw = self.raw
+            found = b"".join([raw[t.id] for t in self.merge(letters)])
+            if len(x) <= 100:
+                self.pieces[x] = found
+        return found
+
+    def _latin(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters by itself."""
+        x = word.lower()
+        if x.isalpha():
+            if x is not word and x in self.known:
+                return self.known[x]
+            raw = self.raw
+            return b"".join([raw[t.id] for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+        if x[-1] in self.marks and x[:-1].isalpha():
+            return self.known[x[:-1]] + self._piece(x[-1])
+        return b"".join([self._piece(p) for p in self.cut.findall(x)])
 
     def _learn(self, words: list[str]) -> None:
         whole, cut = words, {}
@@ -106,13 +152,16 @@ class WordTokenizer:
             at = to
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known, out, late = self.known, [], []
+        known, out, late, ids = self.known, [], [], self.known.__getitem__
         if len(known) > self.cache_size:
             known.clear()
         if len(self.pieces) > self.cache_size:
             self.pieces.clear()
         for t in texts:
-            words = _ASCII_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()
+            words = list(filter(None, _ASCII_SPACE.split(t))) if _ODD_SPACE.search(t) else t.split()
+            if self.cut and is_latin1(t):
+                out.append([b"".join(map(ids, words))])
+                continue
             found = list(map(known.get, words))
             if None in found:
                 late.append((found, [(i, words[i]) for i, x in enumerate(found) if x is None]))
@@ -125,7 +174,7 @@ class WordTokenizer:
                     found[i] = known[w]
             for w in new:
                 if len(w) > 100:
-                    del known[w]
+                    known.pop(w, None)
                     self.pieces.pop(w.lower(), None)
         return [np.frombuffer(b"".join(x), "<u4") for x in out]
 

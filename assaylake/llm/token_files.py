@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.scratch import drop, written
-from assaylake.llm.packing import byte_letters
+from assaylake.llm.packing import Remembered, byte_letters, is_latin1
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 16  # bits of a plane that are compressed together
@@ -207,6 +207,10 @@ _ENDS = (",", ".", "!", "?", ":", ";")
 _SURE_ENDS = "\u0250"  # below it all versions of Unicode agree on what is a letter or a number
 
 
+class _Run(Exception):
+    """A longer run of white space: the text is left to the library."""
+
+
 class ByteTokenizer:
     """Ids of whole texts by a byte-level tokenizer, with those of words remembered up to `cache_size` words.
 
@@ -224,7 +228,8 @@ class ByteTokenizer:
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Remembered(self._latin)
+        self.space = self.letters[32]
         self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -233,13 +238,26 @@ class ByteTokenizer:
     def _merged(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            letters = part.encode().decode("latin-1").translate(self.letters)
+            bare = part[0] == " " and part.isascii() and part[1:].isalpha()  # what most words are
+            letters = self.space + part[1:] if bare else part.encode().decode("latin-1").translate(self.letters)
             raw = self.raw
             found = b"".join([raw[t.id] for t in self.merge(letters)])
             if len(part) <= 50:
                 self.parts[part] = found
         return found
 
+    def _latin(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters, with what stands before it as in _learn()."""
+        if word.isalpha():
+            return self._merged(" " + word)
+        if word[-1:] in _ENDS and word[:-1].isalpha():
+            return self._merged(" " + word[:-1]) + self._merged(word[-1])
+        core = word.lstrip("\n")
+        if not core or core[0].isspace():
+            raise _Run
+        text = core if word.startswith("\n\n") else word if word[0] == "\n" else " " + word
+        return b"".join([self._merged(p) for p in _CUT.findall(text)])
+
     def _learn(self, words: list[str]) -> None:
         """Ids of words with what stands before them: a space, a line end, or (after two line ends) nothing."""
         far, merged, known = {}, self._merged, self.known
@@ -267,9 +285,17 @@ class ByteTokenizer:
             if len(held) > self.cache_size:
                 held.clear()
         cut, found, new = [], [], set()
+        get = known.__getitem__
         for t in texts:
             words = t.replace("\n", " \n").split(" ")
             words[0] = "\n\n" + words[0]
+            if is_latin1(t):
+                try:
+                    found.append([b"".join(map(get, words))])
+                except _Run:
+                    found.append(self._library([t]))
+                cut.append(None)
+                continue
             ids = list(map(known.get, words))
             if None in ids:
                 new.update([w for w, x in zip(words, ids, strict=True) if x is None])

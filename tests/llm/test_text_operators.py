@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, substrings, topk
+from assaylake.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, quality, simhash, substrings, token_files, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, seg1 long, label int"
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -284,3 +284,18 @@ def test_top_k_with_ids_that_repeat(spark, scale, slices):
     assert set(got) == {i for i, _ in queries}
     for q, own in queries:
         assert got[q] == sorted(((i, held(sum(a * b for a, b in zip(own, v, strict=True)))) for i, v in whole if i != q), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_latin_words_are_learned_one_at_a_time_and_others_as_before():
+    """Words of Latin-1 texts take no list of gaps; capitals, marks, odd spaces and long words keep the library's ids."""
+    rng = random.Random(12)
+    units = ["Word", "word", "WORD,", "été.", "µm", "ª,", "x" * 150, "Y" * 150 + "!", "don't", "a-b;", "3,5:", "ÿ?", "\x1f", "\x1c\x1cq", "\xa0", "ß!", "…", "ǆ", "文字", "İ", "."]
+    texts = ["".join(rng.choice(units) + rng.choice([" ", "\n", "  ", "\t", " \n", "\n\n"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    for mine, path in ((packing.WordTokenizer, "word_bpe_49k.json"), (token_files.ByteTokenizer, "byte_bpe_50k.json")):
+        mine, theirs = mine(public_tokenizers.path(path), cache_size=20), Tokenizer.from_file(public_tokenizers.path(path))
+        theirs.encode_special_tokens = True
+        assert isinstance(mine.known, packing.Remembered)
+        for at in range(0, len(texts), 50):
+            part = texts[at : at + 50]
+            assert [x.tolist() for x in mine(part)] == [theirs.encode(t, add_special_tokens=False).ids for t in part]
+        assert max(map(len, mine.known)) <= 100
